@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, packing, quality, simhash, tokenfile
+from tessera.llm import bpe, digest, langid, packing, quality, simhash, suffix, tokenfile
 from tessera.llm.common import new_path, table
 
 
@@ -36,10 +36,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     return langid.predict(docs.drop("lang"), langid.fit(docs.where("not held_out")), keep=("held_out",))
@@ -53,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op6_packing, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op6_packing, op8_suffix_array, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
