@@ -78,7 +78,7 @@ def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
     return F.when(doc_id.isNull(), 0).otherwise(F.greatest(F.lit(0), g * width + F.size(F.filter(inner, lambda c: c <= doc_id)) - 1)).cast("int")
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose ``column`` holds about ``limit`` bytes at most, or one row."""
     col = batch.column(column)
     size = col.get_total_buffer_size() if len(col) else 0

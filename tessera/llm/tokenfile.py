@@ -27,7 +27,7 @@ from tessera.llm.common import MAX_BUCKETS, arrow_map, bucket_of, cut_points
 from tessera.llm.wordbpe import chunks
 
 MAGIC = b"TSR8B\x00\x00\x01"
-PART_IDS = 4 << 20
+PART_IDS = 1 << 20
 
 
 def _padded(raw: bytes) -> bytes:
