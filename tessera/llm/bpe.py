@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import arrow_map
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 CACHE_LONGEST = 48
 
 
@@ -66,7 +66,7 @@ class Codec:
         self.auto.make_automaton()
         self.shorter = [self._prefix(by_bytes, t) for t in tokens]
         self.size = [len(t) for t in tokens]
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         for s, i in self.special.items():
             tokens[i] = s.encode()
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -89,7 +89,8 @@ class Codec:
         The boundary is crossed by a merge of some piece at left's end with some piece at right's start. Both tokens are taken apart from the
         boundary outwards, the later merge first; a crossing merge that comes before the merge which would have used up its pieces breaks the pair.
         """
-        known = self.fits.get((left, right))
+        pair = left << 20 | right
+        known = self.fits.get(pair)
         if known is not None:
             return known
         a, b, until, ok = left, right, len(self.rank) + 1, True
@@ -107,9 +108,9 @@ class Codec:
                 until, a = ra, parts[a][1]
             else:
                 until, b = rb + 1, parts[b][0]
-        if len(self.fits) >= 4 * CACHE_ENTRIES:
+        if len(self.fits) >= 2 * CACHE_ENTRIES:
             self.fits.clear()
-        self.fits[left, right] = ok
+        self.fits[pair] = ok
         return ok
 
     def pretoken(self, raw: bytes) -> list[int]:
