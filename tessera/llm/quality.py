@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     first = each.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_label).select("doc_id", "quality")
     counts = {q: n for q, n in each.groupBy("quality").count().collect()}
     prior = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 0.02), 0.98) if counts else 0.5
-    rows = docs.where("text is not null").select("doc_id", F.left("text", F.lit(8 * SAMPLE)).alias("text")).join(first, "doc_id").collect()
+    rows = docs.where("text is not null").select("doc_id", F.left("text", F.lit(8 * SAMPLE)).alias("text")).join(F.broadcast(first), "doc_id").collect()  # 2 x per_label ids
     rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
     by = {q: [(d, t) for d, t, k in rows if k == q and t] for q in (0, 1)}
     if not by[0] or not by[1]:
