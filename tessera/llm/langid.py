@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map
 
 DIMENSIONS = 256
-PER_LANGUAGE = 2_000
+PER_LANGUAGE = 500
 #: Letters beyond this many share vectors by their code point.
 LETTERS = 4_096
 CODES = 1 << 36
@@ -82,7 +82,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarr
     """Prototypes from rows of (doc_id, text, lang) with a language and a text."""
     ranked = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
     first = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_language)
-    chosen = docs.select("doc_id", "text", "lang").join(first.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    ids = F.broadcast(first.select("doc_id", "lang"))  # per_language ids for each language
+    chosen = docs.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         vec, has = space().bundle(b.column("text").to_pylist())
