@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
         if len(col):
             yield batch
         return
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(col), 0))
     at, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if i > at and total + n > limit:
@@ -100,8 +101,6 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with bounded slices of the text column ``text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for b in batches:
             for part in pieces(b, "text"):
                 yield from fn(part)
