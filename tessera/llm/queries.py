@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, digest, langid, packing, quality, simhash, suffix, tokenfile
+from tessera.llm import bpe, digest, langid, linedup, packing, quality, simhash, suffix, tokenfile, vectors
 from tessera.llm.common import new_path, table
 
 
@@ -40,10 +40,19 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.components(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
@@ -61,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op6_packing, op8_suffix_array, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op5_line_dedup, op6_packing, op7_embeddings, op8_suffix_array, op9_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
