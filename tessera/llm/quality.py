@@ -122,3 +122,9 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *keep)), pa.array(p)], names=["doc_id", *keep, "score"])
 
     return arrow_map(docs.select("doc_id", "text", *names), run, ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in keep), "score double"]))
+
+
+def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is ``least`` or more."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return score(rows, model, keep=("row",)).where(F.col("score") >= least).select("row.*")

@@ -69,8 +69,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op5_line_dedup, op6_packing, op7_embeddings, op8_suffix_array, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op5_line_dedup, op6_packing, op7_embeddings, op8_suffix_array, op9_language, op10_quality, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

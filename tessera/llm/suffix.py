@@ -20,7 +20,6 @@ of each other whatever their ids, nulls and repeated rows included. An empty tab
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -375,5 +374,16 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return remove(docs, ("doc_id",), length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def sha256(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs``, with all their columns, without the repeated bytes; characters of which only a part is left go too. Null texts become empty."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
+    found = remove(rows, ("row",), length)
+    kinds = found.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["row", "kept"])
+
+    out = found.select("row", "kept").mapInArrow(run, f"row {kinds}, kept string")
+    return out.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names])
