@@ -1,24 +1,70 @@
-"""Ids of whole texts by the tokenizers library, equal chunks encoded once.
+"""Ids of whole texts by the tokenizers library, equal words encoded once.
 
-With this vocabulary no pretoken crosses white space, so a text's ids are those of its chunks between
-white space, one after another. Each new chunk goes through the library; the others come from a bounded table.
+With this vocabulary no pretoken crosses white space, so a text's ids are those of its chunks between white space, one after another. In texts of Latin-1
+characters chunks are lower-cased and cut into pretokens here, and new pretokens go through the library's model; in other texts each new chunk goes
+through the whole of the library. A text with separators that Python and the vocabulary see differently, or with what may be a
+special token, goes through the library at once. Pretokens and chunks are kept in bounded tables.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
+from tessera.llm.bpe import byte_letters
 
-CACHE_ENTRIES = 300_000
-#: Chunks that go through the library at once; each takes it about a kilobyte meanwhile.
-AT_ONCE = 1_024
+CACHE_ENTRIES = 400_000
 CACHE_LONGEST = 48
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that Python splits at and the vocabulary's pattern doesn't.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Pretokens(dict):
+    """Ids of lower-cased Latin-1 chunks; only single pretokens are kept."""
+
+    def __init__(self, model) -> None:
+        import regex
+
+        self.tokenize, self.find = model.tokenize, regex.compile(PRETOKEN).findall
+        self.letters = {i: c for i, c in enumerate(byte_letters())}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk.isalpha() and len(chunk) > 1:
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return self[chunk[:-1]] + self[chunk[-1]]
+            parts = self.find(chunk)
+            if len(parts) > 1:
+                return b"".join(map(self.__getitem__, parts))
+        shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+        ids = _raw([t.id for t in self.tokenize(shown)])
+        if len(chunk) <= CACHE_LONGEST:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """Ids of chunks without white space."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = _raw(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= CACHE_LONGEST:
+            if len(self) >= CACHE_ENTRIES // 4:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class Chunks:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,30 +73,21 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.pretoken = _Pretokens(self.tokenizer.model).__getitem__
+        self.chunk = _Chunks(self.tokenizer).__getitem__
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), AT_ONCE):
-            out += [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
-        return out
+    def _one(self, text: str) -> bytes:
+        if "<|" in text or any(c in text for c in NOT_SPACE):
+            return _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.chunk, text.split()))
+        return b"".join(map(self.pretoken, text.lower().split()))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; a null has none."""
-        words = [[] if not x else x.split() if not any(c in x for c in NOT_SPACE) else None for x in texts]
-        whole = [(i, x) for i, (w, x) in enumerate(zip(words, texts, strict=True)) if w is None]
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        new = list(set().union(*(w for w in words if w)).difference(self.known))
-        table = self.known
-        table.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(table.__getitem__, w)) if w else b"" for w in words]
-        for w in new:
-            if len(w) > CACHE_LONGEST:
-                del table[w]
-        for i, x in whole:
-            out[i] = self._ids([x])[0]
-        return out
+        return [self._one(x) if x else b"" for x in texts]
 
 
 _made: dict[str, Chunks] = {}
