@@ -12,7 +12,7 @@ Every byte covered by a string of ``LENGTH`` bytes that starts anywhere else too
    boundaries still unset have a common prefix of LENGTH or more, and windows beside them are repeated.
 4. Repeated windows go back to all runs with the same segment, and to the documents.
 
-A key with more than ``HOT_BYTES`` of distinct segments isn't gathered in one task: its windows are counted by their 128-bit hashes instead.
+A key with more than ``HOT_BYTES`` of segments isn't gathered in one task: its windows are counted by their 128-bit hashes instead.
 
 A null text is an empty one; texts under LENGTH bytes stay whole. Documents are told apart by row, not by doc_id: equal texts are copies
 of each other whatever their ids, nulls and repeated rows included. An empty table gives no rows; extra columns are dropped.
@@ -33,7 +33,7 @@ LENGTH = 200
 GRAM = 64
 BATCH = 2 << 20
 BLOCK = 512 << 10
-HOT_BYTES = 1 << 20
+HOT_BYTES = 2 << 20
 #: Longer runs, of periodic text, are cut into segments of so many windows.
 MOST_WINDOWS = 64 << 10
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -264,9 +264,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(t1, t2, spans array<struct<a, b>>): for each distinct text with repeated windows, the byte ranges [a, b) that they cover, which may overlap."""
     every = stored(runs(docs, length), "runs")
     busy = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("key")
-    shared = stored(every.join(busy, "key", "left_semi"), "shared")
-    each = shared.groupBy("key", "size", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of"))
-    weight = each.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("bytes"))
+    # copies of a text have the same runs: they are one row with a count
+    shared = stored(every.join(busy, "key", "left_semi").groupBy("t1", "t2", "key", "at", "size", "h").agg(F.count(F.lit(1)).alias("n")), "shared")
+    each = shared.groupBy("key", "size", "h").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of"))
+    weight = each.groupBy("key").agg(F.sum(F.col("size") * F.least("n", F.lit(2))).alias("bytes"))
     wanted = each.join(weight, "key").select(F.col("of.t1").alias("t1"), F.col("of.t2").alias("t2"), F.struct("key", "size", "h", F.col("of.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("bytes") > HOT_BYTES).alias("hot")).alias("s"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("s").alias("s"))
     texts = _keyed(docs, []).where(F.octet_length("text") >= length)
@@ -332,7 +333,16 @@ def _hot(segments: DataFrame, length: int) -> DataFrame:
 
     each = segments.select("key", "size", "h", "n", "raw").mapInArrow(windows, "key long, size int, h long, n int, a int, w1 long, w2 long")
     many = each.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
-    return each.join(many, ["w1", "w2"], "left_semi").select("key", "size", "h", "a", F.col("a").alias("b"))
+    hit = each.join(many, ["w1", "w2"], "left_semi").groupBy("key", "size", "h").agg(F.sort_array(F.collect_set("a")).alias("at"))  # a segment's windows at most
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [spans(np.array(x), length) for x in b.column("at").to_pylist()]
+            who = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+            ends = [e for x in found for e in x]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("key", "size", "h")), pa.array([a for a, _ in ends], pa.int32()), pa.array([e for _, e in ends], pa.int32())], names=["key", "size", "h", "a", "b"])
+
+    return hit.mapInArrow(merge, "key long, size int, h long, a int, b int")
 
 
 def covered(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
