@@ -1,9 +1,7 @@
-"""What the operators share: where tables go between stages, and the order of documents."""
+"""What the operators share: reading tables, the order of documents, and bounded batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,39 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 65_536
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="tessera-")
-    return _own_folder
-
+from tessera.sources.store import discard, new_path, shuffles_deleted, stored
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "new_path", "pieces", "shuffles_deleted", "stored", "table"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there and lost executors cost nothing."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path  # type: ignore[attr-defined]
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote, when nothing will read it again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)  # type: ignore[attr-defined]
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+MAX_BUCKETS = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,62 +22,63 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, pieces, stored
 from tessera.llm.suffix import _MULTIPLIERS, Rolling
 
 SHINGLE = 5
-BUCKETS = 8_192
+BITS = 13
+BUCKETS = 1 << BITS
+_REST = np.uint64((1 << (64 - BITS)) - 1)
+#: Postings that a task holds back at once before it sorts them in.
+AT_ONCE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Lines:
-    """Lines with words of a list of texts, and their tokens."""
+    """Lines with words of a list of texts, and their tokens.
+
+    Words are hashed from the bytes, shingles and lines from the hashes of their words.
+    """
 
     def __init__(self, texts: list[str | None]) -> None:
         raw = [(x or "").lower().encode() for x in texts]
         data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
         lines_of = np.array([1 + r.count(b"\n") for r in raw], dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(raw)), lines_of)
+        doc = np.repeat(np.arange(len(raw)), lines_of)
         first_line = np.cumsum(lines_of) - lines_of
-        space = _SPACE[data]
-        word = ~space
-        before = np.append(False, word[:-1])
-        begin = np.flatnonzero(word & ~before)
-        line_of_word = np.cumsum(data == 10)[begin] if len(begin) else np.zeros(0, np.int64)
-        keep = word | (space & before)
-        norm = np.where(space, np.uint8(32), data)[keep]
-        place = np.cumsum(keep) - 1
-        start = place[begin]
-        end = place[np.flatnonzero(~word & before)]  # every word is followed by a blank: the texts end with one
-        self.line, at, n = np.unique(line_of_word, return_index=True, return_counts=True)
-        self.number = self.line - first_line[self.doc[self.line]] if len(self.line) else self.line
-        self.doc = self.doc[self.line] if len(self.line) else self.line
-        rolls = [Rolling(norm, m) for m in _MULTIPLIERS[1:]]
-        first, last = start[at], end[at + n - 1]
-        self.h = [r.of(first, last).view(np.int64) for r in rolls]
+        edge = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1)))
+        begin, end = edge[::2], edge[1::2]  # every word is followed by a blank: the texts end with one
+        of_word = np.searchsorted(np.flatnonzero(data == 10), begin)
+        word = Rolling(data, _MULTIPLIERS[1]).of(begin, end)
+        self.line, at, n = np.unique(of_word, return_index=True, return_counts=True)
+        self.doc = doc[self.line]
+        self.number = self.line - first_line[self.doc]
+        rolls = [Rolling(word, m) for m in _MULTIPLIERS[1:]]
+        self.h = [r.of(at, at + n).view(np.int64) for r in rolls]
         # shingles that stay in their line, and short lines whole
-        index = np.repeat(np.arange(len(n)), n)
-        k = len(start) - SHINGLE + 1
-        inside = np.flatnonzero(line_of_word[: max(k, 0)] == line_of_word[SHINGLE - 1 :]) if k > 0 else np.zeros(0, np.int64)
+        k = max(0, len(begin) - SHINGLE + 1)
+        inside = np.flatnonzero(of_word[:k] == of_word[SHINGLE - 1 :][:k])
         short = np.flatnonzero(n < SHINGLE)
-        self.token = rolls[0].of(np.append(start[inside], first[short]), np.append(end[inside + SHINGLE - 1], last[short]))
+        self.token = rolls[0].of(np.append(inside, at[short]), np.append(inside + SHINGLE, (at + n)[short]))
+        index = np.repeat(np.arange(len(n)), n)
         self.of = np.append(index[inside], short)
 
-    def sets(self) -> tuple[np.ndarray, np.ndarray]:
-        """(line index, token) without repeats, ordered by both."""
-        order = np.lexsort((self.token, self.of))
-        of, token = self.of[order], self.token[order]
+    def sets(self, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(line index, token) without repeats, by line and then token. With ``order``, places of buckets, a token's bucket is replaced by its place, so rare ones come first."""
+        token = self.token if order is None else (order[bucket(self.token)] << np.uint64(64 - BITS)) | (self.token & _REST)
+        at = np.lexsort((token, self.of))
+        of, token = self.of[at], token[at]
         new = np.ones(len(of), dtype=bool)
         new[1:] = (of[1:] != of[:-1]) | (token[1:] != token[:-1])
         return of[new], token[new]
 
 
 def bucket(token: np.ndarray) -> np.ndarray:
-    return (token >> np.uint64(51)).astype(np.int64)
+    return (token >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -113,29 +114,82 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(token, h1, n, pos): each line's rarest tokens with its size and their places in its order."""
+    order = np.empty(BUCKETS, dtype=np.uint64)
+    order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = Lines(b.column("text").to_pylist())
-        of, token = x.sets()
+        of, token = x.sets(order)
         n = np.bincount(of, minlength=len(x.line))
-        _, once = np.unique(x.h[0], return_index=True)
-        kept = np.zeros(len(x.line), dtype=bool)
-        kept[once] = True
-        keep = kept[of]
-        of, token = of[keep], token[keep]
-        order = np.lexsort((token, counts[bucket(token)], of))
-        of, token = of[order], token[order]
-        begin = np.zeros(len(x.line), dtype=np.int64)
-        mine, at = np.unique(of, return_index=True)
-        begin[mine] = at
-        pos = np.arange(len(of)) - begin[of]
-        head = pos < prefix_size(n)[of]
+        pos = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+        once = np.zeros(len(x.line), dtype=bool)
+        once[np.unique(x.h[0], return_index=True)[1]] = True
+        head = (pos < prefix_size(n)[of]) & once[of]
         of, token, pos = of[head], token[head], pos[head]
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(x.h[0][of]), pa.array(n[of].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "h1", "n", "pos"])
 
     return arrow_map(docs.select("text"), run, "token long, h1 long, n int, pos int")
 
 
+def met(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that more than one line has.
+
+    A task holds the first posting of each of its tokens, sorted, and lets it go when a second line comes; a frequent token takes no more room than a rare one.
+    """
+    names = ["token", "h1", "n", "pos"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        shown = np.zeros(0, dtype=bool)
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+
+        def take() -> Iterator[pa.RecordBatch]:
+            nonlocal first, shown, waiting, held
+            new = [np.concatenate(c) for c in zip(*waiting, strict=True)]
+            waiting, held = [], 0
+            by = np.lexsort((new[1], new[0]))
+            new = [c[by] for c in new]
+            fresh = np.ones(len(by), dtype=bool)  # a line's posting is there once for each batch that has the line
+            fresh[1:] = (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])
+            new = [c[fresh] for c in new]
+            at = np.searchsorted(first[0], new[0])
+            known = np.zeros(len(at), dtype=bool)
+            if len(first[0]):
+                near = np.minimum(at, len(first[0]) - 1)
+                known = first[0][near] == new[0]
+                again = known & (first[1][near] == new[1])
+                out = known & ~again
+                pair = np.unique(near[out])
+                late = pair[~shown[pair]]
+                shown[pair] = True
+                yield from batch([np.concatenate((c[late], d[out])) for c, d in zip(first, new, strict=True)])
+            rest = [c[~known] for c in new]
+            lead = np.ones(len(rest[0]), dtype=bool)
+            lead[1:] = rest[0][1:] != rest[0][:-1]
+            size = np.diff(np.append(np.flatnonzero(lead), len(lead)))
+            many = np.repeat(size > 1, size) if len(size) else np.zeros(0, bool)
+            yield from batch([c[many] for c in rest])
+            add = [c[lead] for c in rest]
+            order = np.argsort(np.concatenate((first[0], add[0])), kind="stable")
+            first = [np.concatenate((c, d))[order] for c, d in zip(first, add, strict=True)]
+            shown = np.concatenate((shown, size > 1))[order]
+
+        def batch(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        for b in batches:
+            waiting.append([np.asarray(b.column(c)) for c in names])
+            held += b.num_rows
+            if held >= AT_ONCE:
+                yield from take()
+        if waiting:
+            yield from take()
+
+    return postings.repartition("token").mapInArrow(run, "token long, h1 long, n int, pos int")
+
+
 def _may_match(a: str, b: str) -> Column:
     """The length filter and the positional filter for Jaccard 0.8: 9 * shared >= 4 * (sizes together)."""
     n1, n2, p1, p2 = (F.col(f"{s}.{c}") for c in ("n", "pos") for s in (a, b))
@@ -152,12 +206,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = every.where("counts is null").drop("counts")
     place = F.struct("doc_id", "t1", "t2", "line")
     first = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "first")
-    by_token = Window.partitionBy("token")
-    met = prefixes(docs, counts).withColumns({"lo": F.min("h1").over(by_token), "hi": F.max("h1").over(by_token)}).where("lo < hi").select("token", "h1", "n", "pos").distinct()
-    met = stored(met, "postings")
-    needed = met.select("h1").distinct().join(first, "h1").select("h1", "h2", "first")
+    postings = stored(met(prefixes(docs, counts)).distinct(), "postings")
+    needed = postings.select("h1").distinct().join(first, "h1").select("h1", "h2", "first")
     sets = stored(_token_sets(docs, needed), "sets")
-    index = stored(met.join(needed, "h1").select("token", "h1", "h2", "first", "n", "pos"), "index")
+    index = stored(postings.join(needed, "h1").select("token", "h1", "h2", "first", "n", "pos"), "index")
     lead = index.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n", "pos")).alias("l")).select("token", "l.*")
     one = index.alias("a").join(lead.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("b.first") < F.col("a.first")) & _may_match("a", "b"))
     gone = stored(_verified(one, sets), "gone")
