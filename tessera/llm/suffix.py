@@ -5,7 +5,7 @@ Every byte covered by a string of ``LENGTH`` bytes that starts anywhere else too
 1. Each window of LENGTH bytes is keyed by the least hash of the ``GRAM``-byte strings in it. Equal windows have equal keys, and neighbouring
    windows mostly share one, so documents fall into runs: a key and the segment of bytes that its windows cover.
 2. A key with one run that has its hashed string once cannot hold a repeat. For the others each distinct segment is fetched once, with how often it occurs (two is all that
-   counts), and dealt by key.
+   counts: such a segment is repeated throughout, and stays for others to match), and dealt by key.
 3. In each task segments are joined to one text of bounded size and sorted by their first 256 bytes. Starting with strings of 8 bytes, intervals of its Burrows-Wheeler
    transform are extended backwards, breadth first: the boundary at which an extended interval ends gets the
    current length as its common prefix, once, and only intervals that set a boundary go on. At LENGTH the expansion stops;
@@ -40,7 +40,7 @@ _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
 class Rolling:
-    """Hashes of substrings of one byte array by prefix sums of its polynomial, modulo 2**64."""
+    """Hashes of substrings of one array, of bytes or of hashes, by prefix sums of its polynomial, modulo 2**64."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -56,7 +56,7 @@ class Rolling:
                 self._powers[multiplier] = have
         self.down = have[1]
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * have[0][:n], out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64, copy=False) + np.uint64(1)) * have[0][:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.down[start]
@@ -267,7 +267,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # copies of a text have the same runs: they are one row with a count
     shared = stored(every.join(busy, "key", "left_semi").groupBy("t1", "t2", "key", "at", "size", "h").agg(F.count(F.lit(1)).alias("n")), "shared")
     each = shared.groupBy("key", "size", "h").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of"))
-    weight = each.groupBy("key").agg(F.sum(F.col("size") * F.least("n", F.lit(2))).alias("bytes"))
+    weight = each.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("bytes"))
     wanted = each.join(weight, "key").select(F.col("of.t1").alias("t1"), F.col("of.t2").alias("t2"), F.struct("key", "size", "h", F.col("of.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("bytes") > HOT_BYTES).alias("hot")).alias("s"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("s").alias("s"))
     texts = _keyed(docs, []).where(F.octet_length("text") >= length)
@@ -289,11 +289,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         total, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
-            texts = [raw for n, raw in held.values() for _ in range(n)]
-            found, at, rows = repeated_windows(texts, length), 0, []
-            for ident, (n, _) in held.items():
-                rows += [(*ident, a, b) for a, b in spans(found[at], length)]
-                at += n
+            found, rows = repeated_windows([raw for _, raw in held.values()], length), []
+            for (ident, (n, raw)), starts in zip(held.items(), found, strict=True):
+                rows += [(*ident, a, b) for a, b in (spans(starts, length) if n == 1 else [(0, len(raw) - length)])]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "size", "h", "a", "b"])
@@ -306,7 +304,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 last = key
                 if (key, size, h) not in held:  # copies of a text bring their segments again
                     held[key, size, h] = n, raw
-                    total += n * size
+                    total += size
         if held:
             yield from out()
 
