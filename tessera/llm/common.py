@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.store import discard, new_path, shuffles_deleted, stored
 
-__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "new_path", "pieces", "shuffles_deleted", "stored", "table"]
+__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "new_path", "pieces", "shuffles_deleted", "stored", "table", "trim"]
 
 MAX_BUCKETS = 65_536
 
@@ -49,7 +51,7 @@ def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
     return F.when(doc_id.isNull(), 0).otherwise(F.greatest(F.lit(0), g * width + F.size(F.filter(inner, lambda c: c <= doc_id)) - 1)).cast("int")
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose ``column`` holds about ``limit`` bytes at most, or one row."""
     col = batch.column(column)
     size = col.get_total_buffer_size() if len(col) else 0
@@ -74,5 +76,13 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
         for b in batches:
             for part in pieces(b, "text"):
                 yield from fn(part)
+        trim()
 
     return df.mapInArrow(run, schema)
+
+
+def trim() -> None:
+    """Give memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, pieces, stored
+from tessera.llm.common import arrow_map, pieces, stored, trim
 from tessera.llm.suffix import _MULTIPLIERS, Rolling
 
 SHINGLE = 5
@@ -108,6 +108,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 who = [part.column(c).take(pa.array(x.doc)) for c in ("doc_id", "t1", "t2")]
                 yield pa.RecordBatch.from_arrays([*who, pa.array(x.number.astype(np.int32)), *(pa.array(h) for h in x.h), pa.nulls(len(x.doc), kinds[-1])], names=names)
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:-1]), pa.array([total], kinds[-1])], names=names)
+        trim()
 
     return _keyed(docs).mapInArrow(run, "doc_id long, t1 long, t2 long, line int, h1 long, h2 long, counts array<long>")
 
@@ -186,6 +187,7 @@ def met(postings: DataFrame) -> DataFrame:
                 yield from take()
         if waiting:
             yield from take()
+        trim()
 
     return postings.repartition("token").mapInArrow(run, "token long, h1 long, n int, pos int")
 

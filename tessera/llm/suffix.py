@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, stored
+from tessera.llm.common import arrow_map, stored, trim
 
 LENGTH = 200
 GRAM = 64
-BATCH = 2 << 20
+BATCH = 1 << 20
 BLOCK = 512 << 10
 HOT_BYTES = 2 << 20
 #: Longer runs, of periodic text, are cut into segments of so many windows.
@@ -136,24 +136,26 @@ def sorted_by_prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, dtype=np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | wide[k : k + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key, kind="stable").astype(np.int32)
     ranked = key[order]
+    del key
     differs = np.empty(n, dtype=bool)
     differs[0] = True
     differs[1:] = ranked[1:] != ranked[:-1]
-    common = np.full(n, 8, dtype=np.int64)
+    common = np.full(n, 8, dtype=np.int8)
     common[0] = -1
     x = ranked[1:] ^ ranked[:-1]
     for k in range(8, 0, -1):  # the first byte that differs
         common[1:][x >> np.uint64(8 * (8 - k)) != 0] = k - 1
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(differs) - 1
+    del x, ranked
+    rank = np.empty(n, dtype=np.int32)
+    rank[order] = np.cumsum(differs, dtype=np.int32) - 1
     h = 8
     while h < 256 and not differs.all():
         # only suffixes whose rank is shared need another look
-        follow = np.full(n, -1, dtype=np.int64)
+        follow = np.full(n, -1, dtype=np.int32)
         follow[: n - h] = rank[h:]
-        group = np.cumsum(differs)
+        group = np.cumsum(differs, dtype=np.int32)
         open_ = np.flatnonzero(~differs | np.append(~differs[1:], False))
         sub = order[open_]
         sorted_ = np.lexsort((follow[sub], group[open_]))
@@ -161,8 +163,7 @@ def sorted_by_prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order[open_] = sub
         g, f = group[open_], follow[sub]
         differs[open_[1:]] |= (f[1:] != f[:-1]) & (g[1:] == g[:-1])
-        head = np.where(differs, np.arange(n), 0)
-        rank[order] = np.maximum.accumulate(head)
+        rank[order] = np.maximum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), np.int32(0)))
         h *= 2
     return order, common
 
@@ -185,8 +186,8 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     order, common = sorted_by_prefix(data)
     bwt = data[order - 1]
     # last-to-first: where the suffix one byte longer stands
-    lf = np.empty(n, dtype=np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf = np.empty(n, dtype=np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     unset = np.append(common >= 8, False)
     bound = np.append(common, -1)
     left = np.flatnonzero(bound[:-1] < 8)  # intervals of strings of 8 bytes
@@ -307,6 +308,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     total += size
         if held:
             yield from out()
+        trim()
 
     cool = segments.where(~F.col("hot")).select("key", "size", "h", "n", "raw").repartition("key").sortWithinPartitions("key")
     found = cool.mapInArrow(expand, "key long, size int, h long, a int, b int").unionByName(_hot(segments.where("hot"), length))
