@@ -101,6 +101,10 @@ class Query:
         out.type  # a query that can't be typed is refused where it is built
         return out
 
+    def _beside(self, other: Query) -> Query:
+        """This query over both catalogs."""
+        return self if other.catalog is self.catalog else replace(self, catalog=self.catalog.joined(other.catalog))
+
     def _eq(self, c: Col) -> Eq:
         e = self.type.eqs[self._at(c.name)]
         return _folded(e) if c.folded else e
@@ -153,23 +157,23 @@ class Query:
         if clash:
             raise UnknownRelation(f"both sides have {sorted(clash)}; rename one")
         eq = self._eq(Col(a, ci))
-        out = self._next(n.JoinEq(self.plan, other.plan, self._at(a), other._at(b), eq), self.names + other.names)
+        out = self._beside(other)._next(n.JoinEq(self.plan, other.plan, self._at(a), other._at(b), eq), self.names + other.names)
         for x, y in more:
             out = out.where(Col(x, ci) == Col(y, ci))
         return out
 
     def anti_join(self, other: Query, a: str, b: str, ci: bool = False) -> Query:
-        return self._next(n.AntiJoin(self.plan, other.plan, self._at(a), other._at(b), self._eq(Col(a, ci))))
+        return self._beside(other)._next(n.AntiJoin(self.plan, other.plan, self._at(a), other._at(b), self._eq(Col(a, ci))))
 
     def semi_join(self, other: Query, a: str, b: str, ci: bool = False) -> Query:
         """Rows with a match: those that the rows without one leave."""
-        return self._next(n.Difference(self.plan, self.anti_join(other, a, b, ci).plan))
+        return self._beside(other)._next(n.Difference(self.plan, self.anti_join(other, a, b, ci).plan))
 
     def union(self, other: Query) -> Query:
-        return self._next(n.Union(self.plan, other.plan))
+        return self._beside(other)._next(n.Union(self.plan, other.plan))
 
     def difference(self, other: Query) -> Query:
-        return self._next(n.Difference(self.plan, other.plan))
+        return self._beside(other)._next(n.Difference(self.plan, other.plan))
 
     def intersect(self, other: Query) -> Query:
         return self.difference(self.difference(other))

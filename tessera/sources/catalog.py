@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +49,14 @@ class Catalog:
             return self.readers[name]()
         return self.spark.createDataFrame([], relation.spark())
 
+    def joined(self, other: Catalog) -> Catalog:
+        """The relations of both; one name is one relation."""
+        for name in self.schema.relations.keys() & other.schema.relations.keys():
+            if self.schema.relations[name] != other.schema.relations[name]:
+                raise UnknownRelation(f"{name} is declared in two ways")
+        schema = replace(self.schema, relations=self.schema.relations | other.schema.relations, entities=self.schema.entities | other.schema.entities)
+        return Catalog(self.spark, schema, other.readers | self.readers)
+
     def with_rows(self, changed: dict[str, DataFrame]) -> Catalog:
         """The same relations with other rows for some: a candidate state."""
         for name in changed:

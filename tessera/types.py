@@ -78,7 +78,7 @@ class Seq(Type):
     item: Type
 
     def spark(self) -> T.DataType:
-        return T.ArrayType(self.item.spark(), isinstance(self.item, Option))
+        return T.ArrayType(self.item.spark(), True)  # files rarely say that items are never null
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ class SetOf(Type):
     item: Type
 
     def spark(self) -> T.DataType:
-        return T.ArrayType(self.item.spark(), isinstance(self.item, Option))
+        return T.ArrayType(self.item.spark(), True)  # files rarely say that items are never null
 
 
 @dataclass(frozen=True)
