@@ -208,7 +208,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = every.where("counts is null").drop("counts")
     place = F.struct("doc_id", "t1", "t2", "line")
     first = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "first")
-    postings = stored(met(prefixes(docs, counts)).distinct(), "postings")
+    postings = stored(_promising(stored(met(prefixes(docs, counts)).distinct(), "met")), "postings")
     needed = postings.select("h1").distinct().join(first, "h1").select("h1", "h2", "first")
     sets = stored(_token_sets(docs, needed), "sets")
     index = stored(postings.join(needed, "h1").select("token", "h1", "h2", "first", "n", "pos"), "index")
@@ -223,6 +223,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     return out.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("lines"))
 
 
+def _promising(postings: DataFrame) -> DataFrame:
+    """Postings with a partner under their token that passes the filters, found by classes of size and place."""
+    classes = postings.groupBy("token", "n", "pos").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    partner = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b") & ((F.col("b.lo") != F.col("a.h1")) | (F.col("b.hi") != F.col("a.h1")))
+    return postings.alias("a").join(classes.alias("b"), partner, "left_semi")
+
+
 def _token_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(h1, h2, tokens) of the lines in ``needed``, from the row that has each first."""
     by_row = needed.select("first.*", "h1", "h2").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want")).alias("w")
