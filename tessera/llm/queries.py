@@ -79,5 +79,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_simhash, op4_fingerprints, op5_line_dedup, op6_packing, op7_embeddings, op8_suffix_array, op9_language, op10_quality, pipeline)}
 
 
+#: The links of op7 by all pairs of a label, and what each vector reaches.
+OP7_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+    SELECT vec_id, vec_id AS r FROM embeddings
+    UNION
+    SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r
+), least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY 1), degree AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN degree ON a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embeddings": OP7_SQL}
