@@ -8,6 +8,7 @@ integer of each group from at most ``MOST_WINDOWS`` x 4 limb sums and rounds it
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import pandas as pd
@@ -36,21 +37,29 @@ def exponent(c: Column) -> Column:
 
 
 def _power(e: Column) -> Column:
-    """2.0**e for whole e from -1074 to 1024, by two exact factors."""
-    half = F.shiftright(e, 1)
-    return F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (e - half).cast("double"))
+    """2.0**e for whole e from -1074 to 1024, from a table."""
+    return F.element_at(F.lit([math.ldexp(1.0, k) if k < 1024 else math.inf for k in range(-1074, 1025)]), e + 1075)
 
 
-def limbs(c: Column) -> Column:
+def low_bit(c: Column) -> Column:
+    """k such that c is a whole number of 2**(k - 1074) and at most 53 bits wide."""
+    return F.greatest(F.lit(0), exponent(c) + 1074 - 52)
+
+
+def mantissa(c: Column, low: Column) -> Column:
+    """c * 2**(1074 - low) as a whole number, in two steps whose factors are powers of two, so that neither rounds."""
+    up = 1074 - low
+    part = F.shiftright(up, 1)
+    return (c * _power(part) * _power(up - part)).cast("long")
+
+
+def limbs(c: Column, low: Column | None = None, m: Column | None = None) -> Column:
     """struct(w, l0, l1, l2): c = (l0 + l1 * 2**32 + l2 * 2**64) * 2**(STEP * w - 1074)."""
-    low = F.greatest(F.lit(0), exponent(c) + 1074 - 52)  # bits of c below 2**low - 1074 are zero
+    low = low_bit(c) if low is None else low
+    m = mantissa(c, low) if m is None else m
     w = F.shiftright(low, 5)
     shift = low - w * STEP
-    # c * 2**(1074 - low) in two steps whose factors are powers of two, so that neither rounds
-    up = 1074 - low
-    part = F.shiftright(up, 1)
-    m = (c * _power(part) * _power(up - part)).cast("long")
-    sign, a = F.signum(m.cast("double")).cast("long"), F.abs(m)
+    sign, a = F.when(m < 0, -1).otherwise(1).cast("long"), F.abs(m)
     lo, hi = a.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(a, 32)  # hi has 21 bits at most
     mul = F.element_at(F.lit([1 << k for k in range(STEP)]), shift + 1)
     x, y = lo * mul, hi * mul  # at most 63 and 52 bits
@@ -82,7 +91,10 @@ def exact_sum(df: DataFrame, by: dict[str, Column], value: Column, shown: dict[s
 
     Values that are null don't count. A limb's sum stays within 64 bits for 2**31 rows of one group and window; ANSI mode raises beyond.
     """
-    held = df.select(*[c.alias(n) for n, c in by.items()], *[c.alias(n) for n, c in shown.items()], limbs(_finite(value)).alias("_x"))
+    held = df.select(*[c.alias(n) for n, c in by.items()], *[c.alias(n) for n, c in shown.items()], _finite(value).alias("_v"))
+    # a step for each part, so that none is computed again for every use
+    held = held.withColumn("_low", low_bit(F.col("_v"))).withColumn("_m", mantissa(F.col("_v"), F.col("_low")))
+    held = held.select(*by, *shown, limbs(F.col("_v"), F.col("_low"), F.col("_m")).alias("_x"))
     least = [F.min(n).alias(n) for n in shown]
     parts = held.groupBy(*by, F.col("_x.w").alias("w")).agg(*[F.sum(f"_x.l{k}").alias(f"s{k}") for k in range(3)], *least)
     windows = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "s0", "s1", "s2"))).alias("_w")  # MOST_WINDOWS at most
