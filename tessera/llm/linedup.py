@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, pieces, stored, trim
+from tessera.llm.common import arrow_map, discard, pieces, stored, trim
 from tessera.llm.suffix import _MULTIPLIERS, Rolling
 
 SHINGLE = 5
@@ -208,7 +208,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     lines = every.where("counts is null").drop("counts")
     place = F.struct("doc_id", "t1", "t2", "line")
     first = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "first")
-    postings = stored(_promising(stored(met(prefixes(docs, counts)).distinct(), "met")), "postings")
+    known = stored(met(prefixes(docs, counts)).distinct(), "met")
+    postings = stored(_promising(known), "postings")
+    discard(known)
     needed = postings.select("h1").distinct().join(first, "h1").select("h1", "h2", "first")
     sets = stored(_token_sets(docs, needed), "sets")
     index = stored(postings.join(needed, "h1").select("token", "h1", "h2", "first", "n", "pos"), "index")
@@ -217,7 +219,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     gone = stored(_verified(one, sets), "gone")
     rest = index.join(gone, ["h1", "h2"], "left_anti")
     two = rest.alias("a").join(index.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("b.first") < F.col("a.first")) & _may_match("a", "b"))
-    gone = gone.unionByName(_verified(two, sets)).withColumn("gone", F.lit(True))
+    late = stored(_verified(two, sets), "gone")
+    for done in (sets, index, postings):
+        discard(done)
+    gone = gone.unionByName(late).withColumn("gone", F.lit(True))
     fate = first.where("copies > 1").join(gone, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.join(fate, ["h1", "h2"]).where(F.col("gone") | ~place.eqNullSafe(F.col("first")))
     return out.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("lines"))
