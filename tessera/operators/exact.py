@@ -37,8 +37,9 @@ def exponent(c: Column) -> Column:
 
 
 def _power(e: Column) -> Column:
-    """2.0**e for whole e from -1074 to 1024, from a table."""
-    return F.element_at(F.lit([math.ldexp(1.0, k) if k < 1024 else math.inf for k in range(-1074, 1025)]), e + 1075)
+    """2.0**e for whole e from -1074 to 1024, from a table. It goes to Spark as one string: a literal for each entry would cost a call each."""
+    table = ",".join(repr(math.ldexp(1.0, k)) if k < 1024 else "Infinity" for k in range(-1074, 1025))
+    return F.element_at(F.split(F.lit(table), ",").cast("array<double>"), e + 1075)
 
 
 def low_bit(c: Column) -> Column:
