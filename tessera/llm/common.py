@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.store import discard, new_path, shuffles_deleted, stored
 
-__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "new_path", "pieces", "shuffles_deleted", "stored", "table", "trim"]
+__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "longs", "new_path", "pieces", "shuffles_deleted", "stored", "table", "trim"]
 
 MAX_BUCKETS = 65_536
 
@@ -39,15 +39,20 @@ def cut_points(docs: DataFrame, per_bucket: int) -> list[int]:
     return sorted({low, *marks})
 
 
+def longs(values: list[int]) -> Column:
+    """An array literal, sent as one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
     """The index of the last cut that is not above ``doc_id``; null ids go to the first bucket. Two short scans, by groups of cuts and within one."""
     if len(cuts) <= 1:
         return F.lit(0)
     width = int(len(cuts) ** 0.5) + 1
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    heads = F.lit([g[0] for g in groups])
+    heads = longs([g[0] for g in groups])
     g = F.greatest(F.lit(0), F.size(F.filter(heads, lambda c: c <= doc_id)) - 1)
-    inner = F.get(F.array(*[F.lit(x) for x in groups]), g)
+    inner = F.get(F.array(*map(longs, groups)), g)
     return F.when(doc_id.isNull(), 0).otherwise(F.greatest(F.lit(0), g * width + F.size(F.filter(inner, lambda c: c <= doc_id)) - 1)).cast("int")
 
 

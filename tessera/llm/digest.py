@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_of, cut_points, stored
+from tessera.llm.common import bucket_of, cut_points, longs, stored
 
 #: White space that NFKC leaves as it is.
 SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{1680}\x{2028}\x{2029}]+"
@@ -48,7 +48,7 @@ def with_next(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low).cast("long")
     names = docs.columns
     marked = docs.withColumn("_b", bucket)
-    bounds = F.lit(cuts[1:]) if len(cuts) > 1 else None
+    bounds = longs(cuts[1:]) if len(cuts) > 1 else None
     is_bound = F.coalesce(F.get(bounds, F.col("_b") - 1) == F.col("doc_id"), F.lit(False)) if bounds is not None else F.lit(False)
     if nulls and cuts:  # the least id follows the nulls, within bucket 0
         is_bound = is_bound & (F.col("_b") > 0)
