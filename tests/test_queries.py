@@ -40,5 +40,5 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, data):
-    plan = q.filter_order_gt(spark, data)._jdf.queryExecution().executedPlan().toString()
+    plan = q.queries()["filter_order_gt"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,25.0)" in plan and "l_comment" not in plan and "l_extendedprice" not in plan
