@@ -22,7 +22,7 @@ def _condition(ctx: low.Lowering, p: Plan) -> Column:
         case FilterEqConst(_, c, v, eq):
             return low._equal(F.col(f"c{c}"), low.literal(v, t.columns[c]), eq, t.columns[c])
         case FilterOrderConst(_, c, v, order, comparison):
-            return F.coalesce(low.compare(F.col(f"c{c}"), v, order, comparison, t.columns[c]), F.lit(False))
+            return low.compare(F.col(f"c{c}"), v, order, comparison, t.columns[c])
         case FilterEqColumns(_, a, b, eq):
             return low._equal(F.col(f"c{a}"), F.col(f"c{b}"), eq, t.columns[a])
     raise TypeError(p)
