@@ -195,6 +195,13 @@ def join_ci_text(spark, d):
     return scan(c, "segments").join(scan(c, "types"), ("seg", "typ"), ci=True).select("c_custkey", "p_partkey").frame()
 
 
+@query("SELECT c_custkey, segment, n FROM customer JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1) ON lower(c_mktsegment) = lower(segment)")
+def join_ci_text_whole(spark, d):
+    c = star(spark, d, "customer")
+    c.declare("spelled", spark.read.parquet(f"{d}/customer.parquet").selectExpr("if(c_custkey % 2 = 0, lower(c_mktsegment), c_mktsegment) as segment"))
+    return scan(c, "customer").join(scan(c, "spelled").group("segment").count("n"), ("c_mktsegment", "segment"), ci=True).select("c_custkey", "segment", "n").frame()
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def semi_join(spark, d):
     c = star(spark, d, "customer", "orders")
