@@ -5,8 +5,9 @@ dictionary counts throughout. The difference of both sizes, normalised by them a
 through a logistic curve fitted on labelled texts that neither dictionary has seen. The score is the chance that the label is 1, at the
 labels' share among all labelled rows.
 
-Fitting takes ``PER_LABEL`` labelled documents of each label at most, those with the least hash of their doc_id, and of each the first
-``SAMPLE`` bytes for the dictionaries; scoring always takes whole texts. Null and empty texts have difference 0 and get the curve's value there.
+Fitting takes ``PER_LABEL`` labelled documents of each label at most, those with the least hash of their doc_id. Their texts and those
+that are scored are always taken whole. One task for each label trains its dictionary, the others measure the texts that fit the curve; the
+driver gets dictionaries and sizes, no texts. Null and empty texts have difference 0 and get the curve's value there.
 Without texts of both labels every score is the share of label 1 (within 0.02 and 0.98), 0.5 without labels. Rows that repeat are each scored.
 """
 
@@ -20,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, discard, stored, trim
 
 PER_LABEL = 1_500
-SAMPLE = 4_096
 DICTIONARY = 64 << 10
 BLOCK = 1_024
 LEVEL = 1
@@ -82,31 +82,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fit on ``labels`` (doc_id, quality) and the texts of ``docs``; repeated labels of a document count once, the lower first."""
+def _trained(texts: pa.Table) -> pa.Table:
+    """(quality, dictionary) from the whole texts of one label."""
     import zstandard
 
-    each = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = texts.sort_by("place")
+    raw = [t.encode() for t in texts.column("text").to_pylist()]
+    parts = [t[i : i + 512] for t in raw for i in range(0, len(t), 512)]
+    try:
+        made = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
+    except zstandard.ZstdError:  # too few to train on: their text itself
+        made = b"".join(raw)[:DICTIONARY]
+    trim()
+    return pa.table({"quality": texts.column("quality").slice(0, 1), "dictionary": pa.array([made], pa.binary())})
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """Fit on ``labels`` (doc_id, quality) and the texts of ``docs``; repeated labels of a document count once, the lower first."""
+    each = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     first = each.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_label).select("doc_id", "quality")
     counts = {q: n for q, n in each.groupBy("quality").count().collect()}
     prior = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 0.02), 0.98) if counts else 0.5
-    rows = docs.where("text is not null").select("doc_id", F.left("text", F.lit(8 * SAMPLE)).alias("text")).join(F.broadcast(first), "doc_id").collect()  # 2 x per_label ids
-    rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
-    by = {q: [(d, t) for d, t, k in rows if k == q and t] for q in (0, 1)}
-    if not by[0] or not by[1]:
+    rows = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(first), "doc_id").distinct()  # 2 x per_label ids
+    of_label = Window.partitionBy("quality")
+    placed = rows.withColumns({"place": F.row_number().over(of_label.orderBy("doc_id", "text")) - 1, "n": F.count(F.lit(1)).over(of_label)})
+    chosen = stored(placed.select("quality", "place", "text", (F.col("n") < 12).alias("both")), "labelled")
+    trained = chosen.where("both or place % 3 <> 0").groupBy("quality").applyInArrow(_trained, "quality int, dictionary binary").collect()  # 2 x DICTIONARY
+    made = {r["quality"]: bytes(r["dictionary"]) for r in trained}
+    if len(made) < 2:
+        discard(chosen)
         return Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))))
-    made = {}
-    for q in (0, 1):
-        texts = [t.encode()[:SAMPLE] for i, (_, t) in enumerate(by[q]) if i % 3 or len(by[q]) < 12]
-        parts = [t[i : i + 512] for t in texts for i in range(0, len(t), 512)]
-        try:
-            made[q] = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
-        except zstandard.ZstdError:  # too few to train on: their text itself
-            made[q] = b"".join(texts)[:DICTIONARY]
-    held = [(t, q) for q in (0, 1) for i, (_, t) in enumerate(by[q]) if not i % 3 or len(by[q]) < 12]
-    x = np.array([features(*sizes(made[1], made[0], t)) for t, _ in held])
-    return Model(made[1], made[0], tuple(_logistic(x, np.array([q for _, q in held], dtype=float), prior)))
+
+    def measure(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = [sizes(made[1], made[0], t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("place"), *(pa.array(x, pa.int64()) for x in zip(*n, strict=True))], names=["quality", "place", "raw", "good", "bad"])
+
+    held = arrow_map(chosen.where("both or place % 3 = 0").select("quality", "place", "text"), measure, "quality int, place int, raw long, good long, bad long").collect()
+    discard(chosen)
+    held = sorted(map(tuple, held))
+    x = np.array([features(*n) for _, _, *n in held])
+    return Model(made[1], made[0], tuple(_logistic(x, np.array([q for q, *_ in held], dtype=float), prior)))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

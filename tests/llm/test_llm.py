@@ -299,6 +299,22 @@ def test_quality_held_out(spark, data):
     assert quality.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), model).count() == 2
 
 
+@pytest.mark.parametrize("alike", [5_000, 33_000])
+def test_quality_is_fitted_on_whole_texts(spark, alike):
+    rng = random.Random(11)
+    shared = prose(rng, 20_000)
+
+    def text(label):
+        at = rng.randrange(60_000)
+        return shared[at : at + alike] + " " + " ".join(f"{'ab'[label]}{rng.randrange(300)}" for _ in range(1_500))
+
+    rows = [(k, text(k % 2)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs.where("doc_id >= 40"), quality.fit(docs.where("doc_id < 40"), labels)).collect()}
+    assert min(got[k] for k in got if k % 2) > max(got[k] for k in got if not k % 2)
+
+
 def test_pipeline_against_brute_force(spark, data):
     import corpus_pipeline as p
     from tessera.llm.queries import table
