@@ -20,11 +20,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map
 
-DIMENSIONS = 256
+DIMENSIONS = 4_096
 PER_LANGUAGE = 500
 #: Letters beyond this many share vectors by their code point.
 LETTERS = 4_096
 CODES = 1 << 36
+#: Trigrams whose vectors, and texts whose bundles, are in memory at once.
+GRAMS = 1_024
+TEXTS = 256
 
 
 def letter_vectors() -> np.ndarray:
@@ -61,12 +64,19 @@ class Space:
         """(vectors of the texts, which have a letter)."""
         grams = [self.grams(x or "") for x in texts]
         out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-        every = np.unique(np.concatenate([g for g, _ in grams])) if grams else np.zeros(0, np.int64)
-        vec = self.vectors(every).astype(np.float32)
-        for i, (g, n) in enumerate(grams):
-            if len(g):
-                out[i] = n.astype(np.float32) @ vec[np.searchsorted(every, g)]
-        return out, np.array([len(g) > 0 for g, _ in grams], dtype=bool)
+        size = np.array([len(g) for g, _ in grams], dtype=np.int64)
+        if size.any():
+            every, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+            by = np.argsort(at, kind="stable")
+            at, of, n = at[by], np.repeat(np.arange(len(texts)), size)[by], np.concatenate([n for _, n in grams])[by]
+            for lo in range(0, len(every), GRAMS):
+                i, j = np.searchsorted(at, (lo, lo + GRAMS))
+                rows, row = np.unique(of[i:j], return_inverse=True)
+                codes = every[lo : lo + GRAMS]
+                counts = np.zeros((len(rows), len(codes)), dtype=np.float32)
+                counts[row, at[i:j] - lo] = n[i:j]
+                out[rows] += counts @ self.vectors(codes).astype(np.float32)
+        return out, size > 0
 
 
 _space: Space | None = None
@@ -86,11 +96,17 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarr
     chosen = docs.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        vec, has = space().bundle(b.column("text").to_pylist())
-        lang = np.array(b.column("lang").to_pylist(), dtype=object)
-        norm = np.linalg.norm(vec, axis=1)
-        rows = [(x, (vec[keep] / norm[keep, None]).sum(0).astype(float).tolist()) for x in sorted(set(lang[has].tolist())) for keep in [has & (lang == x) & (norm > 0)]]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["lang", "v"])
+        sums: dict[str, np.ndarray] = {}
+        for lo in range(0, b.num_rows, TEXTS):
+            part = b.slice(lo, TEXTS)
+            vec, has = space().bundle(part.column("text").to_pylist())
+            lang = np.array(part.column("lang").to_pylist(), dtype=object)
+            norm = np.linalg.norm(vec, axis=1)
+            for x in set(lang[has].tolist()):
+                keep = has & (lang == x) & (norm > 0)
+                sums[x] = sums.get(x, 0) + (vec[keep] / norm[keep, None]).sum(0).astype(float)
+        rows = sorted(sums.items())
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([v.tolist() for _, v in rows], pa.list_(pa.float64()))], names=["lang", "v"])
 
     sums = arrow_map(chosen, run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("k", "x"))
     # whole thousandths: sums then don't depend on their order
@@ -108,8 +124,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, b.num_rows, 256):
-            part = b.slice(lo, 256)
+        for lo in range(0, b.num_rows, TEXTS):
+            part = b.slice(lo, TEXTS)
             vec, has = space().bundle(part.column("text").to_pylist())
             lang, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
             if names:

@@ -289,6 +289,14 @@ def test_language_held_out(spark, data):
     assert {(r.lang_pred, r.score) for r in odd} == {("und", 0.0)}
 
 
+def test_language_of_short_texts(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.1')}/documents.parquet").withColumn("h", held_out())
+    model = langid.fit(docs.where("not h"))
+    short = docs.where("h").withColumn("text", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " "))
+    got = langid.predict(short, model, keep=("lang",)).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.96
+
+
 def test_quality_held_out(spark, data):
     d = data.replace("0.001", "0.1")
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet").withColumn("h", held_out()) for t in ("documents", "labels"))
