@@ -10,7 +10,7 @@ two are within two bits exactly if they share one within one bit of both, so eac
 The links differ, the components do not, and a hot bucket costs 65 rows for each fingerprint.
 
 A null or empty text, or one without words, has fingerprint zero. Rows that repeat are each returned; a null doc_id is never a
-component id unless all of its component are null. An empty table gives no rows. Other columns are dropped.
+component id unless all of its component are null. ``one_of_each`` keeps one row of a component, also of repeated rows and null ids. An empty table gives no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, stored
@@ -52,14 +52,15 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): fingerprints as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, fp long): fingerprints as signed 64-bit integers."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = np.array([fingerprint(x) for x in b.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *keep)), pa.array(fp)], names=["doc_id", *keep, "fp"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return arrow_map(docs.select("doc_id", "text", *keep), run, ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in keep), "fp long"]))
 
 
 def _turned(fp: Column, by: int) -> Column:
@@ -87,19 +88,29 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(through)
 
 
+def _nodes(fps: DataFrame, key: Column) -> DataFrame:
+    """(fp, least, component): each fingerprint with the least ``key`` of its rows."""
+    nodes = fps.groupBy("fp").agg(F.min(key).alias("least"))
+    linked = connected_components(links(nodes.select("fp")))
+    by_node = nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return stored(by_node, "nodes")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row for each document."""
     fps = stored(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(links(nodes.select("fp")))
-    by_node = nodes.join(linked.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    by_node = stored(by_node, "nodes")
+    by_node = _nodes(fps, F.col("doc_id"))
     least = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
     out = fps.join(by_node.join(least, "component").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) whose doc_id is the least of their component; of rows that repeat that doc_id, all."""
-    kept = components(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row (all columns) of each component: that of the least doc_id, null ids last, then the least hashes of the text, then the least other columns."""
+    key = ["_null", "_id", "_t1", "_t2"]  # without nulls, so that the join and the choice below share a shuffle
+    keyed = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(7), "text")})
+    fps = stored(fingerprints(keyed, tuple(key)), "fingerprints")
+    kept = _nodes(fps, F.struct(*key)).groupBy("component").agg(F.min("least").alias("least")).select("least.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy(*key).orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    return keyed.join(kept, key, "left_semi").withColumn("_k", F.row_number().over(same)).where("_k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

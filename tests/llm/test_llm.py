@@ -191,6 +191,18 @@ def test_simhash_links_in_hot_buckets(spark, monkeypatch):
         assert {f: got.get(f, f) for f in signed} == brute
 
 
+def test_one_row_of_each_simhash_component(spark, docs):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(5, a, "x"), (5, a, "w"), (None, a, "v"), (9, a, "v"), (None, b, "z"), (None, b, "y"), (7, c, "z"), (7, c + " ", "z"), (7, c, "z"), (None, None, "q"), (3, "", "q")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert sorted(((r.doc_id, (r.text or "").strip(), r.lang) for r in got), key=str) == sorted([(5, a, "w"), (None, b, "y"), (7, c, "z"), (3, "", "q")], key=str)
+    every = simhash.components(docs).collect()
+    one = simhash.one_of_each(docs)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {r.component_id for r in every}
+    assert simhash.one_of_each(docs.select("doc_id", "text").limit(0)).count() == 0
+
+
 def test_digests(docs, texts):
     rows = digest.compare_with_edits(docs.select("doc_id", "text")).collect()
     order = sorted(pairs(docs), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
