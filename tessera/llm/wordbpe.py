@@ -41,7 +41,7 @@ class _Pretokens(dict):
             parts = self.find(chunk)
             if len(parts) > 1:
                 return b"".join(map(self.__getitem__, parts))
-        shown = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+        shown = chunk.encode().decode("latin-1").translate(self.letters)  # the model knows a control byte by its letter alone, like any other
         ids = _raw([t.id for t in self.tokenize(shown)])
         if len(chunk) <= CACHE_LONGEST:
             if len(self) >= CACHE_ENTRIES:
