@@ -263,6 +263,22 @@ def test_line_dedup(spark):
     assert collections.Counter((r.doc_id, r.text) for r in linedup.dedup(docs).collect()) == want
 
 
+def test_line_dedup_of_structured_words(spark):
+    """Words whose polynomial hashes agree for every multiplier, words that differ in one byte at any place, and columns with the operator's own names."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    long = ["".join("xy"[i == k] for i in range(70)) for k in range(70)]
+    texts = [a, b, "\n".join(long), "\n".join(w[:-1] for w in long), f"{a} {b} {a} {b}", f"{b} {a} {b} {a}", f" {a}\t{b}  {a}\x0b{b} "]
+    names = "doc_id int, text string, _t1 int, t1 int, lines string, row int, g int, `a b` string"
+    docs = spark.createDataFrame([(i, t, 7, 8, "x", 9, 10, "y") for i, t in enumerate(texts)], names)
+    got = linedup.dedup(docs)
+    assert got.schema == docs.schema
+    kept = {r.doc_id: r for r in got.collect()}
+    assert [kept[i].text for i in range(7)] == [*texts[:6], ""]
+    assert {tuple(r)[2:] for r in kept.values()} == {(7, 8, "x", 9, 10, "y")}
+
+
 @pytest.mark.parametrize("hot", [0, 2 << 20])
 def test_repeated_strings(docs, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT_BYTES", hot)
