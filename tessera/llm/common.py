@@ -9,12 +9,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.sources.store import discard, new_path, shuffles_deleted, stored
 
-__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "longs", "new_path", "pieces", "shuffles_deleted", "stored", "table", "trim"]
+__all__ = ["arrow_map", "bucket_of", "cut_points", "discard", "least_hashed", "longs", "new_path", "pieces", "shuffles_deleted", "stored", "table", "texts_of", "trim", "typed"]
 
 MAX_BUCKETS = 65_536
 
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id as a long, text and ``more`` columns."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+
+
 def cut_points(docs: DataFrame, per_bucket: int) -> list[int]:
     """Ascending doc_ids, each present in the table, the least first, that split it into buckets of about ``per_bucket`` rows.
 
@@ -39,6 +45,22 @@ def cut_points(docs: DataFrame, per_bucket: int) -> list[int]:
     return sorted({low, *marks})
 
 
+def least_hashed(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """(group, key): of each ``group`` at most ``most`` keys, those of the least hash, each once.
+
+    One count for each group goes to the driver. By it a bound on the hash is set that about twice as many rows pass, so no task gets more than those, however many tasks there are.
+    """
+    h = F.xxhash64(key)
+    sizes = {g: n for g, n in rows.groupBy(group).count().collect()}
+    every = (1 << 64) - 1
+    bounds = {g: min(every, (2 * most + 200) * every // n) - (1 << 63) for g, n in sizes.items()}
+    near = F.lit(False)
+    for g, top in sorted(bounds.items(), key=lambda x: str(x[0])):
+        near = near | (F.col(group).eqNullSafe(F.lit(g)) & (h <= F.lit(top)))
+    order = Window.partitionBy(group).orderBy(h, key)
+    return rows.where(near).select(group, key).distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(group, key)
+
+
 def longs(values: list[int]) -> Column:
     """An array literal, sent as one string."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
@@ -74,7 +96,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
     yield batch.slice(at)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with bounded slices of the text column ``text``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +108,11 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def typed(df: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
+    """The schema of ``df``'s columns ``keep``, whatever their names, and of the columns that ``more`` declares."""
+    return T.StructType([*(T.StructField(k, df.schema[k].dataType) for k in keep), *(T.DataType.fromDDL(more).fields if more else ())])
+
+
 def trim() -> None:
     """Give memory that a task has freed back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
