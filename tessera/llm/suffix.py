@@ -2,17 +2,17 @@
 
 Every byte covered by a string of ``LENGTH`` bytes that starts anywhere else too goes. To find them over any number of documents:
 
-1. Each window of LENGTH bytes is keyed by the least hash of the ``GRAM``-byte strings in it. Equal windows have equal keys, and neighbouring
+1. Each window of LENGTH bytes is keyed by the least hash of the 64-byte strings in it (the first of ``GRAMS``). Equal windows have equal keys, and neighbouring
    windows mostly share one, so documents fall into runs: a key and the segment of bytes that its windows cover.
-2. A key with one run that has its hashed string once cannot hold a repeat. For the others each distinct segment is fetched once, with how often it occurs (two is all that
-   counts: such a segment is repeated throughout, and stays for others to match), and dealt by key.
-3. In each task segments are joined to one text of bounded size and sorted by their first 256 bytes. Starting with strings of 8 bytes, intervals of its Burrows-Wheeler
+2. A key with one run that has its hashed string once cannot hold a repeat. For the others each distinct segment, by the 128-bit xxh3 of its bytes, is fetched once, with
+   how often it occurs (two is all that counts: such a segment is repeated throughout, and stays for others to match), and dealt by key.
+3. A key with more than ``MOST_BYTES`` of distinct segments, as of a phrase that many texts share, is split: its windows are keyed again by the least hash of longer
+   strings in them, up to the whole window. Windows with equal keys of that last kind are equal, so they make one segment.
+4. In each task segments are joined to one text of bounded size and sorted by their first 256 bytes. Starting with strings of 8 bytes, intervals of its Burrows-Wheeler
    transform are extended backwards, breadth first: the boundary at which an extended interval ends gets the
    current length as its common prefix, once, and only intervals that set a boundary go on. At LENGTH the expansion stops;
    boundaries still unset have a common prefix of LENGTH or more, and windows beside them are repeated.
-4. Repeated windows go back to all runs with the same segment, and to the documents.
-
-A key with more than ``HOT_BYTES`` of segments isn't gathered in one task: its windows are counted by their 128-bit hashes instead.
+5. Repeated windows go back to all runs with the same segment, and to the documents.
 
 A null text is an empty one; texts under LENGTH bytes stay whole. Documents are told apart by row, not by doc_id: equal texts are copies
 of each other whatever their ids, nulls and repeated rows included. An empty table gives no rows; extra columns are dropped.
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, stored, trim
+from tessera.llm.common import arrow_map, discard, pieces, stored, trim, typed
 
 LENGTH = 200
-GRAM = 64
+#: Lengths of the strings that key a window, one after the other for keys that are too busy; the last is the window's own.
+GRAMS = (64, 128, 168, LENGTH)
 BATCH = 1 << 20
 BLOCK = 512 << 10
-HOT_BYTES = 2 << 20
+MOST_BYTES = 2 << 20
 #: Longer runs, of periodic text, are cut into segments of so many windows.
 MOST_WINDOWS = 64 << 10
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -76,8 +77,16 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text index, key, first window, bytes of the segment, hash of the segment, whether the key's string stands in it twice) of each run."""
+def names_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of the 128-bit xxh3 of each ``data[begin:end]``."""
+    import xxhash
+
+    raw, digest = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(raw[a:e]) for a, e in zip(begin.tolist(), end.tolist(), strict=True)]), dtype="<i8").reshape(-1, 2)
+
+
+def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
+    """(text index, key, first window, bytes of the segment, name of the segment, whether the key's string stands in it twice) of each run."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum(sizes)
@@ -85,7 +94,7 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     windows = np.maximum(sizes - length + 1, 0)
     if not windows.any():
         z = np.zeros(0, np.int64)
-        return z, z.astype(np.uint64), z, z, z.astype(np.uint64), z.astype(bool)
+        return z, z.astype(np.uint64), z, z, z.reshape(0, 2), z.astype(bool)
     roll = Rolling(data, _MULTIPLIERS[1])
     at = np.arange(len(data) - gram + 1)
     grams = roll.of(at, at + gram)
@@ -114,7 +123,7 @@ def runs_of(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     seen = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1)
     hit1, hit2 = seen[s] == key[begin][:, None], seen[e - length] == key[begin][:, None]
     twice = (hit1.sum(1) > 1) | (hit2.sum(1) > 1) | (s + hit1.argmax(1) != e - length + hit2.argmax(1))
-    return doc, key[begin], s - starts[doc], e - s, Rolling(data, _MULTIPLIERS[2]).of(s, e), twice
+    return doc, key[begin], s - starts[doc], e - s, names_of(data, s, e), twice
 
 
 def _batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -175,8 +184,8 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     parts = [np.append(np.frombuffer(s, dtype=np.uint8).astype(np.uint16) + 1, 0) for s in segments]
     joined = np.concatenate(parts)
     present = np.unique(joined)
-    if len(present) == 257:  # all byte values and the end: 0 would need a ninth bit
-        return _by_hash(segments, length)
+    if len(present) == 257:  # with the end that is one too many; UTF-8 leaves 13 of them out
+        raise ValueError("the segments hold all 256 byte values, which UTF-8 text doesn't")
     if present[0] != 0:
         present = np.append(0, present)
     small = np.zeros(257, dtype=np.uint8)
@@ -228,14 +237,6 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     return out
 
 
-def _by_hash(segments: list[bytes], length: int) -> list[np.ndarray]:
-    seen: dict[bytes, int] = {}
-    for s in segments:
-        for i in range(len(s) - length + 1):
-            seen[s[i : i + length]] = seen.get(s[i : i + length], 0) + 1
-    return [np.array([i for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1], dtype=np.int64) for s in segments]
-
-
 def spans(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     """[first, last] ranges of neighbouring window starts."""
     if not len(starts):
@@ -248,17 +249,38 @@ def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.coalesce("text", F.lit("")).alias("text")).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), "text")})
 
 
+#: What names a distinct segment.
+IDENT = ["key", "size", "h", "g"]
+_IDENT = "key long, size int, h long, g long"
+
+
+def _ident(key: np.ndarray, size: np.ndarray, name: np.ndarray) -> list[pa.Array]:
+    return [pa.array(key.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(name[:, 0].copy()), pa.array(name[:, 1].copy())]
+
+
 def runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(t1, t2, key, at, size, h, twice): the runs of each row's text, which t1 and t2 stand for."""
+    """(t1, t2, at, twice, key, size, h, g): the runs of each row's text, which t1 and t2 stand for."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = [x.encode() for x in b.column("text").to_pylist()]
         t1, t2 = (np.asarray(b.column(c)) for c in ("t1", "t2"))
         for lo, part in _batches(texts):
-            doc, key, at, size, h, twice = runs_of(part, length)
-            yield pa.RecordBatch.from_arrays([pa.array(t1[lo + doc]), pa.array(t2[lo + doc]), pa.array(key.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(twice)], names=["t1", "t2", "key", "at", "size", "h", "twice"])
+            doc, key, at, size, name, twice = runs_of(part, length, _grams(length)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(t1[lo + doc]), pa.array(t2[lo + doc]), pa.array(at.astype(np.int32)), pa.array(twice), *_ident(key, size, name)], names=["t1", "t2", "at", "twice", *IDENT])
+
+    return arrow_map(_keyed(docs, []).where(F.octet_length("text") >= length), run, f"t1 long, t2 long, at int, twice boolean, {_IDENT}")
+
 
-    return arrow_map(_keyed(docs, []).where(F.octet_length("text") >= length), run, "t1 long, t2 long, key long, at int, size int, h long, twice boolean")
+def _grams(length: int) -> list[int]:
+    return [max(1, g * length // LENGTH) for g in GRAMS]
+
+
+def _crowded(each: DataFrame, most: int) -> DataFrame:
+    """``each`` with ``hot``: whether its key's distinct segments have over ``most`` bytes. Such keys are met in 64 parts, so that none gathers its segments."""
+    part = F.pmod("h", F.lit(64)).cast("int")
+    weight = each.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("bytes")).where(F.col("bytes") > most)
+    hot = weight.select("key", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("part"), F.lit(True).alias("hot"))
+    return each.withColumn("part", part).join(hot, ["key", "part"], "left").drop("part").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -266,10 +288,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = stored(runs(docs, length), "runs")
     busy = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("key")
     # copies of a text have the same runs: they are one row with a count
-    shared = stored(every.join(busy, "key", "left_semi").groupBy("t1", "t2", "key", "at", "size", "h").agg(F.count(F.lit(1)).alias("n")), "shared")
-    each = shared.groupBy("key", "size", "h").agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of"))
-    weight = each.groupBy("key").agg(F.sum(F.col("size").cast("long")).alias("bytes"))
-    wanted = each.join(weight, "key").select(F.col("of.t1").alias("t1"), F.col("of.t2").alias("t2"), F.struct("key", "size", "h", F.col("of.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("bytes") > HOT_BYTES).alias("hot")).alias("s"))
+    shared = stored(every.join(busy, "key", "left_semi").groupBy("t1", "t2", "at", *IDENT).agg(F.count(F.lit(1)).alias("n")), "shared")
+    discard(every)
+    each = shared.groupBy(*IDENT).agg(F.sum("n").alias("n"), F.min(F.struct("t1", "t2", "at")).alias("of"))
+    wanted = _crowded(each, MOST_BYTES).select(F.col("of.t1").alias("t1"), F.col("of.t2").alias("t2"), F.struct(*IDENT, F.col("of.at").alias("at"), F.least("n", F.lit(2)).cast("int").alias("n"), "hot").alias("s"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("s").alias("s"))
     texts = _keyed(docs, []).where(F.octet_length("text") >= length)
 
@@ -277,16 +299,23 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = []
         for text, segs in zip(b.column("text").to_pylist(), b.column("s").to_pylist(), strict=True):
             raw = text.encode()
-            rows += [(s["key"], s["size"], s["h"], s["n"], s["hot"], raw[s["at"] : s["at"] + s["size"]]) for s in segs]
+            rows += [(s["key"], s["size"], s["h"], s["g"], s["n"], s["hot"], raw[s["at"] : s["at"] + s["size"]]) for s in segs]
         if rows:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "size", "h", "n", "hot", "raw"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*IDENT, "n", "hot", "raw"])
+
+    segments = arrow_map(texts.join(wanted, ["t1", "t2"]).select("text", "s"), cut, f"{_IDENT}, n int, hot boolean, raw binary")
+    found = stored(_found(stored(segments, "segments"), length, 1), "found")
+    # rows of one text, and of its copies, are the same
+    placed = shared.select("t1", "t2", "at", *IDENT).join(found, IDENT)
+    return placed.groupBy("t1", "t2").agg(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("spans"))
+
 
-    segments = arrow_map(texts.join(wanted, ["t1", "t2"]).select("text", "s"), cut, "key long, size int, h long, n int, hot boolean, raw binary")
-    segments = stored(segments, "segments")
+def _found(segments: DataFrame, length: int, level: int) -> DataFrame:
+    """(key, size, h, g, a, b): ranges [a, b] of repeated windows of ``segments``, a table of distinct ones (copies may come again) with counts; those that are hot go through the strings of the next ``level``."""
 
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], tuple[int, bytes]] = {}
+        held: dict[tuple[int, int, int, int], tuple[int, bytes]] = {}
         total, last = 0, None
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -294,55 +323,55 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for (ident, (n, raw)), starts in zip(held.items(), found, strict=True):
                 rows += [(*ident, a, b) for a, b in (spans(starts, length) if n == 1 else [(0, len(raw) - length)])]
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "size", "h", "a", "b"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*IDENT, "a", "b"])
 
         for b in batches:
-            for key, size, h, n, raw in zip(*(b.column(c).to_pylist() for c in ("key", "size", "h", "n", "raw")), strict=True):
-                if key != last and total > BLOCK:
+            for *ident, n, raw in zip(*(b.column(c).to_pylist() for c in (*IDENT, "n", "raw")), strict=True):
+                if ident[0] != last and total > BLOCK:
                     yield from out()
                     held, total = {}, 0
-                last = key
-                if (key, size, h) not in held:  # copies of a text bring their segments again
-                    held[key, size, h] = n, raw
-                    total += size
+                last, ident = ident[0], tuple(ident)
+                if ident not in held:  # copies of a text bring their segments again
+                    held[ident] = n, raw
+                    total += len(raw)
         if held:
             yield from out()
         trim()
 
-    cool = segments.where(~F.col("hot")).select("key", "size", "h", "n", "raw").repartition("key").sortWithinPartitions("key")
-    found = cool.mapInArrow(expand, "key long, size int, h long, a int, b int").unionByName(_hot(segments.where("hot"), length))
-    found = stored(found, "found")
-    # rows of one text, and of its copies, are the same
-    placed = shared.select("t1", "t2", "key", "at", "size", "h").join(found, ["key", "size", "h"])
-    return placed.groupBy("t1", "t2").agg(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("spans"))
-
+    cool = segments.where(~F.col("hot")).select(*IDENT, "n", "raw").repartition("key").sortWithinPartitions("key")
+    cool = cool.mapInArrow(expand, f"{_IDENT}, a int, b int")
+    hot = segments.where("hot")
+    if hot.isEmpty():
+        return cool
+    grams = _grams(length)
+    inner = stored(_split(hot.dropDuplicates(IDENT), length, grams[level]), "inner")
+    own = {c: f"in_{c}" for c in IDENT}
+    busy = inner.groupBy("in_key").agg(F.sum("n").alias("m"), F.max("twice").alias("twice")).where("m > 1 or twice").select("in_key")
+    each = inner.join(busy, "in_key", "left_semi").groupBy(*own.values()).agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.any_value("raw").alias("raw")).withColumnsRenamed({v: k for k, v in own.items()})
+    last = level + 1 >= len(grams)  # whole windows: a key has one segment
+    each = stored(each.withColumn("hot", F.lit(False)) if last else _crowded(each, MOST_BYTES).select(*IDENT, "n", "hot", "raw"), "segments")
+    within = _found(each, length, level + 1).withColumnsRenamed(own)
+    back = inner.select(*IDENT, "at", *own.values()).join(within, list(own.values())).select(*IDENT, (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    return cool.unionByName(back)
+
+
+def _split(segments: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs of ``segments`` by longer strings: each with its place ``at`` in its segment, how often that occurs, and its own name and bytes."""
 
-def _hot(segments: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of keys with too many segments for one task, counted by hash."""
-    segments = segments.dropDuplicates(["key", "size", "h"])
-
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, size, h, n, raw in zip(*(b.column(c).to_pylist() for c in ("key", "size", "h", "n", "raw")), strict=True):
-                data = np.frombuffer(raw, dtype=np.uint8)
-                at = np.arange(size - length + 1)
-                w = [Rolling(data, m).of(at, at + length).view(np.int64) for m in _MULTIPLIERS[1:]]
-                k = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, key)), pa.array(np.full(k, size, np.int32)), pa.array(np.full(k, h)), pa.array(np.full(k, n, np.int32)), pa.array(at.astype(np.int32)), pa.array(w[0]), pa.array(w[1])], names=["key", "size", "h", "n", "a", "w1", "w2"])
-
-    each = segments.select("key", "size", "h", "n", "raw").mapInArrow(windows, "key long, size int, h long, n int, a int, w1 long, w2 long")
-    many = each.groupBy("w1", "w2").agg(F.sum("n").alias("m")).where("m > 1").select("w1", "w2")
-    hit = each.join(many, ["w1", "w2"], "left_semi").groupBy("key", "size", "h").agg(F.sort_array(F.collect_set("a")).alias("at"))  # a segment's windows at most
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [spans(np.array(x), length) for x in b.column("at").to_pylist()]
-            who = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
-            ends = [e for x in found for e in x]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("key", "size", "h")), pa.array([a for a, _ in ends], pa.int32()), pa.array([e for _, e in ends], pa.int32())], names=["key", "size", "h", "a", "b"])
+            for part in pieces(b, "raw"):
+                raws = part.column("raw").to_pylist()
+                of, key, at, size, name, twice = runs_of(raws, length, gram)
+                outer = np.asarray(part.column("key"))[of].view(np.uint64)
+                key = (key ^ (outer * np.uint64(_MULTIPLIERS[0]))) * np.uint64(_MULTIPLIERS[1])  # equal windows have both keys equal
+                raw = [raws[i][j : j + k] for i, j, k in zip(of.tolist(), at.tolist(), size.tolist(), strict=True)]
+                who = [part.column(c).take(pa.array(of)) for c in (*IDENT, "n")]
+                yield pa.RecordBatch.from_arrays([*who, pa.array(at.astype(np.int32)), pa.array(twice), *_ident(key, size, name), pa.array(raw, pa.binary())], names=[*IDENT, "n", "at", "twice", *(f"in_{c}" for c in IDENT), "raw"])
 
-    return hit.mapInArrow(merge, "key long, size int, h long, a int, b int")
+    inside = ", ".join(f"in_{c}" for c in _IDENT.split(", "))
+    return segments.select(*IDENT, "n", "raw").mapInArrow(run, f"{_IDENT}, n int, at int, twice boolean, {inside}, raw binary")
 
 
 def covered(n: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -360,7 +389,6 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = (), length: int = LENGTH) ->
     """``keep`` columns, n_bytes, n_removed, n_spans and kept binary (the remaining bytes) for every row."""
     found = repeats(docs, length)
     joined = _keyed(docs, list(keep)).join(found, ["t1", "t2"], "left").select(*keep, "text", "spans")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -376,7 +404,7 @@ def remove(docs: DataFrame, keep: tuple[str, ...] = (), length: int = LENGTH) ->
         kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_, strict=True))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return arrow_map(joined, run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), "n_bytes long", "n_removed long", "n_spans long", "kept binary"]))
+    return arrow_map(joined, run, typed(joined, keep, "n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -389,11 +417,10 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
     found = remove(rows, ("row",), length)
-    kinds = found.schema["row"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())], names=["row", "kept"])
 
-    out = found.select("row", "kept").mapInArrow(run, f"row {kinds}, kept string")
+    out = found.select("row", "kept").mapInArrow(run, typed(found, ["row"], "kept string"))
     return out.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in names])
