@@ -4,7 +4,7 @@ A text's canonical form is NFKC (by the ICU library that Spark carries), case-fo
 blank and none at the ends. Its digest is two xxhash64 values with different starts, 32 hex digits. Groups are equal digests whose
 canonical bytes are equal too: grouping takes both, so that texts whose digests collide stay apart.
 
-An exact digest has two grades of likeness: 1.0 for equal canonical texts, 0.0 for any others.
+An exact digest has two grades of likeness: 1.0 for equal digests, 0.0 for any others.
 
 A null text is an empty one. A null doc_id sorts first and takes part like any other. Rows that repeat a doc_id follow one another in the
 order of their texts; of equal rows each is the next of the one before. The next document of the last is the first, of a single one itself.
@@ -43,44 +43,39 @@ def with_next(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
     """
     cuts = cut_points(docs.select("doc_id"), per_bucket)
     low, nulls = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    bucket = bucket_of(F.col("doc_id"), cuts)
     last = max(0, len(cuts) - 1)
     is_first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low).cast("long")
     names = docs.columns
-    marked = docs.withColumn("_b", bucket)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # under one name, so that no column of the input clashes
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row).withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
     bounds = longs(cuts[1:]) if len(cuts) > 1 else None
-    is_bound = F.coalesce(F.get(bounds, F.col("_b") - 1) == F.col("doc_id"), F.lit(False)) if bounds is not None else F.lit(False)
+    is_bound = F.coalesce(F.get(bounds, F.col("bucket") - 1) == F.col("doc_id"), F.lit(False)) if bounds is not None else F.lit(False)
     if nulls and cuts:  # the least id follows the nulls, within bucket 0
-        is_bound = is_bound & (F.col("_b") > 0)
+        is_bound = is_bound & (F.col("bucket") > 0)
     spot = lambda b, extra: F.struct(b.cast("int").alias("b"), F.lit(extra).alias("extra"))
-    spots = F.array_compact(F.array(spot(F.col("_b"), 0), F.when(is_bound, spot(F.col("_b") - 1, 1)), F.when(is_first, spot(F.lit(last), 2))))
-    dealt = marked.select(*names, F.explode(spots).alias("_s")).select(*names, "_s.b", "_s.extra")
-    order = Window.partitionBy("b").orderBy("extra", F.col("doc_id").asc_nulls_first(), *[c for c in names if c != "doc_id"])
-    return dealt.withColumn("following", F.lead(F.struct(*names)).over(order)).where("extra = 0").drop("b", "extra")
+    spots = F.array_compact(F.array(spot(F.col("bucket"), 0), F.when(is_bound, spot(F.col("bucket") - 1, 1)), F.when(is_first, spot(F.lit(last), 2))))
+    dealt = marked.select("doc_id", "row", F.explode(spots).alias("spot"))
+    order = Window.partitionBy("spot.b").orderBy("spot.extra", F.col("doc_id").asc_nulls_first(), *[F.col(f"row.`{c}`") for c in names if c != "doc_id"])
+    return dealt.withColumn("following", F.lead("row").over(order)).where("spot.extra = 0").select("row.*", "following")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Digests of each text, of its edited form and their likenesses, with the exact group (``group_id``: its least doc_id; ``copies``: its documents)."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(texts)
+    canon = canonical(F.coalesce("text", F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), canon.alias("c"))
+    pairs = with_next(texts.select("doc_id", "text", digest(F.col("c")).alias("fingerprint"), F.sha2(F.encode("c", "UTF-8"), 256).alias("sha")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("following.text"), F.lit(1), quarter))
-    forms = pairs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("e"), canonical(F.col("text")).alias("c"), canonical(edited).alias("ec"), canonical(F.col("following.text")).alias("nc"))
-    same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    rows = stored(
-        forms.select(
-            "doc_id", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), digest(F.col("c")).alias("fingerprint"), digest(F.col("ec")).alias("edited_fingerprint"),
-            same("c", "ec").alias("near_edited"), same("c", "nc").alias("near_next"), F.sha2(F.encode("c", "UTF-8"), 256).alias("_sha"),
-        ),
-        "digests",
-    )
-    kept = groups(docs).withColumnRenamed("fingerprint", "_f").withColumnRenamed("sha", "_s")
-    return rows.join(kept, (F.col("fingerprint") == F.col("_f")) & (F.col("_sha") == F.col("_s"))).drop("_f", "_s", "_sha")
+    forms = pairs.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "sha", F.col("following.fingerprint").alias("next"), edited.alias("e"), canonical(edited).alias("ec"))
+    forms = forms.select("doc_id", "n_chars", F.sha2(F.encode("e", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", digest(F.col("ec")).alias("edited_fingerprint"), "next", "sha")
+    like = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
+    rows = stored(forms.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next").alias("near_next"), "sha"), "digests")
+    return rows.join(groups(docs), ["fingerprint", "sha"]).drop("sha")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(fingerprint, sha, group_id, copies): one row for each distinct canonical text; ``sha`` names the text where digests collide."""
-    forms = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", digest(F.col("c")).alias("fingerprint"), "c")
+    forms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.coalesce("text", F.lit(""))).alias("c")).select("doc_id", digest(F.col("c")).alias("fingerprint"), "c")
     each = forms.groupBy("fingerprint", "c").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
     return each.select("fingerprint", F.sha2(F.encode("c", "UTF-8"), 256).alias("sha"), "group_id", "copies")
