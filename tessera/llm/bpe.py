@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, texts_of
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_ENTRIES = 250_000
@@ -220,7 +220,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         c = codec(vocabulary)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.encode(x or "") for x in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    return arrow_map(texts_of(docs), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -247,4 +247,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         n, a, d = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(texts_of(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,7 +9,8 @@ its documents in order; ``before`` counts the shard's ids in earlier parts. A bl
     ids      Simple-8b words, then unsigned 32-bit offsets of their blocks, padded to 8 bytes
 
 Everything is little-endian. Documents without text hold the end id alone. Rows that repeat a doc_id keep a row
-each, next to each other, ordered by their ids. A null doc_id comes first. An empty table gives an empty file set.
+each, next to each other, ordered by their ids. Rows without a doc_id come first, dealt to shards of their own by the hash of their text. Files stand in the
+order of their shards. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import simple8b
-from tessera.llm.common import MAX_BUCKETS, arrow_map, bucket_of, cut_points
+from tessera.llm.common import MAX_BUCKETS, arrow_map, bucket_of, cut_points, texts_of, typed
 from tessera.llm.wordbpe import chunks
 
 MAGIC = b"TSR8B\x00\x00\x01"
@@ -68,21 +70,24 @@ def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def tokens(docs: DataFrame, vocabulary: str, end_id: int, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, ids binary, *keep) of each whole text with ``end_id`` behind it, as little-endian unsigned 32-bit integers."""
     keep, end = keep or [], np.array([end_id], dtype="<u4").tobytes()
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = [x + end for x in chunks(vocabulary).encode(b.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), *(b.column(k) for k in keep)], names=["doc_id", "ids", *keep])
 
-    return arrow_map(docs.select("doc_id", "text", *keep), run, ", ".join(["doc_id long", "ids binary", *(f"{k} {kinds[k]}" for k in keep)]))
+    schema = T.StructType([*T.DataType.fromDDL("doc_id long, ids binary").fields, *typed(docs, keep, "").fields])
+    return arrow_map(texts_of(docs, *keep), run, schema)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, per_shard: int = 4096) -> None:
-    """Encode ``docs`` and write the file set to ``path``. Only ids move between tasks: a shard's go to one task, which sorts and packs them."""
+    """Encode ``docs`` and write the file set to ``path``. Only ids move between tasks: a shard's go to one task of its own, which sorts and packs them."""
     cuts = cut_points(docs.select("doc_id"), per_shard)
-    shards = max(1, len(cuts))
-    with_ids = tokens(docs.select("doc_id", "text", bucket_of(F.col("doc_id"), cuts).alias("shard")), vocabulary, end_id, ["shard"])
-    dealt = with_ids.repartition(min(shards, MAX_BUCKETS), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    nulls = min(MAX_BUCKETS, -(-docs.where("doc_id is null").count() // per_shard))
+    shard = F.lit(nulls) + bucket_of(F.col("doc_id").cast("long"), cuts)
+    if nulls:
+        shard = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(nulls))).otherwise(shard)
+    with_ids = tokens(texts_of(docs, shard.cast("int").alias("shard")), vocabulary, end_id, ["shard"])
+    dealt = with_ids.repartitionById(nulls + max(1, len(cuts)), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part, before, n = None, 0, 0, 0
@@ -112,10 +117,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, per_shar
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids binary) from a file set; start counts the ids of all documents before.
 
-    What is broadcast is one number for each shard, of which there are ``MAX_BUCKETS`` at most.
+    What is broadcast is one number for each shard, of which there are twice ``MAX_BUCKETS`` at most.
     """
     files = spark.read.parquet(path)
-    totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").limit(MAX_BUCKETS).toPandas()
+    totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").limit(2 * MAX_BUCKETS).toPandas()
     base = dict(zip(totals["shard"].tolist(), (totals["n"].cumsum() - totals["n"]).tolist(), strict=True))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
