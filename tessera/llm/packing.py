@@ -3,8 +3,9 @@
 Lengths are whole numbers up to the capacity, so a bin's filling is a short list of lengths and how many bins are filled that way
 depends on counts alone. The driver gets one count for each length (2048 numbers for 2048 tokens, whatever the input), fills
 a bin greedily with the longest that fits, replaces its smallest length by the two unpacked ones that fill
-the widened gap best, and repeats that filling while the counts allow it. Pieces then find their places by their rank among pieces
-of their length; ranks come from counts by chunk, so no length is gathered in one task.
+the widened gap best, and repeats that filling while the counts allow it. Pieces of the whole capacity are sequences by themselves and go nowhere.
+The others find their places by their rank among pieces of their length; a length is cut into chunks of about ``CHUNK`` pieces, whose
+ranks follow from the counts of the chunks before, so no task holds more than a chunk, however many pieces there are.
 
 A null or empty text is a document of the end id alone. Rows that repeat are separate documents. An empty table packs to no rows.
 """
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, stored
+from tessera.llm.common import arrow_map, longs, stored, texts_of, typed
 from tessera.llm.wordbpe import chunks
 
-CHUNKS = 64
+CHUNK = 1 << 16
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -100,35 +101,41 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFra
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(texts_of(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def assign(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` (with a long column ``length`` of 1 to ``capacity``) with sequence_id and offset."""
+    """``items`` (with a whole-number column ``length`` of 1 to ``capacity``) with sequence_id and offset."""
     names = items.columns
-    held = stored(items.withColumn("_chunk", F.pmod(F.xxhash64(*names), F.lit(CHUNKS)).cast("int")), "pieces")
-    by = held.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("n"))
+    item = F.struct(*[F.col(f"`{c}`") for c in names]).alias("item")  # under one name, so that no column of the input clashes
+    held = stored(items.select(item, F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("id")), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in by.groupBy("length").agg(F.sum("n")).collect():  # one row for each length, capacity at most
+    for size, n in held.groupBy("length").count().collect():  # one row for each length, capacity at most
         counts[size] = n
-    at = places(plan(counts, capacity), capacity)
-    before = by.withColumn("_before", F.sum("n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    before = F.broadcast(before.select("length", "_chunk", F.coalesce("_before", F.lit(0)).alias("_before")))  # CHUNKS x capacity rows at most
-    ranked = held.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy(*names))).join(before, ["length", "_chunk"])
-    ranked = ranked.select(*names, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
+    whole, counts[capacity] = int(counts[capacity]), 0
+    filled = plan(counts, capacity)
+    at, bins = places(filled, capacity), sum(k for _, k in filled)
+    alone = held.where(F.col("length") == capacity).select("item.*", (F.lit(bins) + F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts = longs(np.maximum(1, -(-counts // CHUNK)).tolist())
+    some = held.where(F.col("length") < capacity).withColumn("chunk", F.pmod(F.xxhash64("id"), F.get(parts, F.col("length").cast("int"))))
+    by = some.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = by.select("length", "chunk", F.coalesce(ahead, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("id")) - 1
+    ranked = some.withColumn("own", own).join(before, ["length", "chunk"]).select("item", "length", (F.col("own") + F.col("before")).alias("rank"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = np.int64(1) << 40
         keys = at["size"] * far + at["lo"]
         for b in batches:
-            size, rank = (np.asarray(b.column(c)).astype(np.int64) for c in ("length", "_rank"))
+            size, rank = (np.asarray(b.column(c)) for c in ("length", "rank"))
             i = np.searchsorted(keys, size * far + rank, side="right") - 1
             q = rank - at["lo"][i]
             seq, off = at["seq"][i] + q // at["each"][i], at["off"][i] + q % at["each"][i] * size
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(seq), pa.array(off)], names=["item", "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    packed = ranked.mapInArrow(run, typed(held, ["item"], "sequence_id long, offset long")).select("item.*", "sequence_id", "offset")
+    return packed.unionByName(alone) if whole else packed
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
