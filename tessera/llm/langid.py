@@ -15,35 +15,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map
+from tessera.llm.common import arrow_map, least_hashed, typed
 
 DIMENSIONS = 4_096
 PER_LANGUAGE = 500
-#: Letters beyond this many share vectors by their code point.
-LETTERS = 4_096
-CODES = 1 << 36
+SEED = 20_240_501
+#: Letters whose vectors a worker keeps; others are made again when they are met.
+LETTERS = 8_192
+#: Bits of a letter in a trigram's code: 0 is the blank, others are one more than their code point.
+WIDTH = 21
 #: Trigrams whose vectors, and texts whose bundles, are in memory at once.
 GRAMS = 1_024
 TEXTS = 256
 
 
-def letter_vectors() -> np.ndarray:
-    rng = np.random.default_rng(20_240_501)
-    return rng.integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1
+def letter_vector(letter: int) -> np.ndarray:
+    """The vector of a letter, the same wherever it is made."""
+    return np.random.default_rng((SEED, letter)).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
 
 
 class Space:
     def __init__(self) -> None:
-        base = letter_vectors()
-        self.places = [np.roll(base, k, axis=1) for k in (2, 1, 0)]
         import sys
 
+        self.known: dict[int, np.ndarray] = {}
         self.is_letter = np.zeros(sys.maxunicode + 1, dtype=bool)
         self.is_letter[[i for i in range(sys.maxunicode + 1) if chr(i).isalpha()]] = True
 
+    def letters(self, those: np.ndarray) -> np.ndarray:
+        out = np.empty((len(those), DIMENSIONS), dtype=np.int8)
+        for i, x in enumerate(those.tolist()):
+            v = self.known.get(x)
+            if v is None:
+                if len(self.known) >= LETTERS:
+                    self.known.clear()
+                v = self.known[x] = letter_vector(x)
+            out[i] = v
+        return out
+
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of a text as codes, and their counts."""
         at = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -51,14 +63,16 @@ class Space:
         if not letter.any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sign = np.zeros(len(at) + 2, dtype=np.int64)
-        sign[1:-1] = np.where(letter, 1 + at % (LETTERS - 1), 0)
-        code = (sign[:-2] << 24) | (sign[1:-1] << 12) | sign[2:]
+        sign[1:-1] = np.where(letter, 1 + at.astype(np.int64), 0)
+        code = (sign[:-2] << 2 * WIDTH) | (sign[1:-1] << WIDTH) | sign[2:]
         code = code[sign[1:-1] > 0]
         return np.unique(code, return_counts=True)
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        a, b, c = self.places
-        return a[codes >> 24] * b[(codes >> 12) & 4095] * c[codes & 4095]
+        low = (1 << WIDTH) - 1
+        those, at = np.unique(np.concatenate((codes >> 2 * WIDTH, (codes >> WIDTH) & low, codes & low)), return_inverse=True)
+        base, (a, b, c) = self.letters(those), at.reshape(3, -1)
+        return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
 
     def bundle(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(vectors of the texts, which have a letter)."""
@@ -90,9 +104,7 @@ def space() -> Space:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """Prototypes from rows of (doc_id, text, lang) with a language and a text."""
-    ranked = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-    first = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_k") <= per_language)
-    ids = F.broadcast(first.select("doc_id", "lang"))  # per_language ids for each language
+    ids = F.broadcast(least_hashed(docs.where("lang is not null and text is not null"), "lang", "doc_id", per_language))  # per_language ids for each language
     chosen = docs.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -120,8 +132,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarr
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, lang_pred, score); score is the cosine with the predicted language's prototype, from 0 to 1."""
     names = list(prototypes)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     table = np.array([prototypes[x] for x in names], dtype=np.float32).reshape(-1, DIMENSIONS).T
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for lo in range(0, b.num_rows, TEXTS):
@@ -135,4 +147,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
                 lang = [names[k] if h else "und" for k, h in zip(best.tolist(), has.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(part.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", *keep, "lang_pred", "score"])
 
-    return arrow_map(docs.select("doc_id", "text", *keep), run, ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in keep), "lang_pred string", "score double"]))
+    return arrow_map(docs.select("doc_id", "text", *keep), run, typed(docs, ("doc_id", *keep), "lang_pred string, score double"))
