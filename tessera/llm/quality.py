@@ -7,12 +7,13 @@ labels' share among all labelled rows.
 
 Fitting takes ``PER_LABEL`` labelled documents of each label at most, those with the least hash of their doc_id. Their texts and those
 that are scored are always taken whole. One task for each label trains its dictionary, the others measure the texts that fit the curve; the
-driver gets dictionaries and sizes, no texts. Null and empty texts have difference 0 and get the curve's value there.
+driver gets dictionaries and sizes, no texts. Too few texts to train on are their dictionary themselves, its latest ``DICTIONARY`` bytes. Null and empty texts have difference 0 and get the curve's value there.
 Without texts of both labels every score is the share of label 1 (within 0.02 and 0.98), 0.5 without labels. Rows that repeat are each scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, discard, stored, trim
+from tessera.llm.common import arrow_map, discard, least_hashed, stored, trim, typed
 
 PER_LABEL = 1_500
 DICTIONARY = 64 << 10
@@ -43,19 +44,22 @@ _pairs: dict[tuple[bytes, bytes], list] = {}
 def _compressors(good: bytes, bad: bytes) -> list:
     import zstandard
 
-    key = (good[-64:], bad[-64:])
+    key = hashlib.sha256(good).digest(), hashlib.sha256(bad).digest()
     if key not in _pairs:
         _pairs.clear()
         _pairs[key] = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (good, bad)]
     return _pairs[key]
 
 
-def sizes(good: bytes, bad: bytes, text: str | None) -> tuple[int, int, int]:
-    """(bytes, compressed with the good dictionary, with the bad one)."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def sizes(good: bytes, bad: bytes, texts: list[str | None]) -> list[tuple[int, int, int]]:
+    """(bytes, compressed with the good dictionary, with the bad one) of each text."""
     a, b = (c.compress for c in _compressors(good, bad))
-    blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    return len(raw), sum(len(a(x)) for x in blocks), sum(len(b(x)) for x in blocks)
+    out = []
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        out.append((len(raw), sum(len(a(x)) for x in blocks), sum(len(b(x)) for x in blocks)))
+    return out
 
 
 def features(n: int, good: int, bad: int) -> tuple[float, float, float]:
@@ -92,19 +96,18 @@ def _trained(texts: pa.Table) -> pa.Table:
     try:
         made = zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:  # too few to train on: their text itself
-        made = b"".join(raw)[:DICTIONARY]
+        made = b"".join(raw)[-DICTIONARY:]
     trim()
     return pa.table({"quality": texts.column("quality").slice(0, 1), "dictionary": pa.array([made], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Fit on ``labels`` (doc_id, quality) and the texts of ``docs``; repeated labels of a document count once, the lower first."""
-    each = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = each.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_label).select("doc_id", "quality")
+    each = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    first = least_hashed(each, "quality", "doc_id", per_label)
     counts = {q: n for q, n in each.groupBy("quality").count().collect()}
     prior = min(max(counts.get(1, 0) / max(1, sum(counts.values())), 0.02), 0.98) if counts else 0.5
-    rows = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(first), "doc_id").distinct()  # 2 x per_label ids
+    rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(first), "doc_id").distinct()  # 2 x per_label ids
     of_label = Window.partitionBy("quality")
     placed = rows.withColumns({"place": F.row_number().over(of_label.orderBy("doc_id", "text")) - 1, "n": F.count(F.lit(1)).over(of_label)})
     chosen = stored(placed.select("quality", "place", "text", (F.col("n") < 12).alias("both")), "labelled")
@@ -115,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
         return Model(b"", b"", (0.0, 0.0, 0.0, float(np.log(prior / (1 - prior)))))
 
     def measure(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = [sizes(made[1], made[0], t) for t in b.column("text").to_pylist()]
+        n = sizes(made[1], made[0], b.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("place"), *(pa.array(x, pa.int64()) for x in zip(*n, strict=True))], names=["quality", "place", "raw", "good", "bad"])
 
     held = arrow_map(chosen.where("both or place % 3 = 0").select("quality", "place", "text"), measure, "quality int, place int, raw long, good long, bad long").collect()
@@ -128,16 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, score): the chance of label 1 for each whole text."""
     w = np.array(model.weights)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     names = [k for k in keep if k != "text"]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = b.column("text").to_pylist()
-        x = np.array([features(*sizes(model.good, model.bad, t)) if model.good else (0.0, 0.0, 0.0) for t in texts])
+        x = np.array([features(*n) for n in sizes(model.good, model.bad, texts)] if model.good else [(0.0, 0.0, 0.0)] * len(texts))
         p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
         yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("doc_id", *keep)), pa.array(p)], names=["doc_id", *keep, "score"])
 
-    return arrow_map(docs.select("doc_id", "text", *names), run, ", ".join(["doc_id long", *(f"{k} {kinds[k]}" for k in keep), "score double"]))
+    return arrow_map(docs.select("doc_id", "text", *names), run, typed(docs, ("doc_id", *keep), "score double"))
 
 
 def accepted(docs: DataFrame, model: Model, least: float = ACCEPT) -> DataFrame:
