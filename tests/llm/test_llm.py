@@ -193,23 +193,32 @@ def test_simhash_components(docs):
     assert collections.Counter(map(tuple, simhash.components(docs).collect())) == want
 
 
-def test_simhash_links_in_hot_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [1, 6, 48])
+def test_simhash_links_in_hot_buckets(spark, monkeypatch, limit):
+    """Every link at any limit, also where all share three segments and differ in few bits."""
     rng = random.Random(1)
     seeds = [rng.getrandbits(64) for _ in range(40)]
-    fps = sorted({s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(12)})
-    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    brute = closure_of(signed, [(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2])
-    for limit in (2, 48):
-        monkeypatch.setattr(simhash, "BUCKET", limit)
-        found = connected_components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")))
-        got = {r.node: r.component for r in found.collect()}
-        assert {f: got.get(f, f) for f in signed} == brute
+    fps = {s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(6)}
+    fps |= {seeds[0] ^ (rng.getrandbits(7) << rng.choice((24, 29, 57))) for _ in range(300)} | {(1 << 64) - 1, 0, 1 << 63}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    monkeypatch.setattr(simhash, "BUCKET", limit)
+    assert {tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()} == want
+
+
+def test_simhash_splits_leave_few_free_bits():
+    for depth in range(simhash._depths() + 1):
+        known = [m & (2**64 - 1) for m in simhash._known(depth)]
+        assert len(known) == 3**depth and all(m & 0xFFFFFF == 0xFFFFFF for m in known)
+    assert max(64 - m.bit_count() for m in known) <= simhash.FREE
 
 
 def test_one_row_of_each_simhash_component(spark, docs):
     rng = random.Random(4)
     a, b, c = (prose(rng, 80) for _ in range(3))
     rows = [(5, a, "x"), (5, a, "w"), (None, a, "v"), (9, a, "v"), (None, b, "z"), (None, b, "y"), (7, c, "z"), (7, c + " ", "z"), (7, c, "z"), (None, None, "q"), (3, "", "q")]
+    named = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id int, text string, lang string, _kept int, t1 int, row int")
+    assert simhash.one_of_each(named).schema == named.schema and simhash.one_of_each(named).count() == 4
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
     assert sorted(((r.doc_id, (r.text or "").strip(), r.lang) for r in got), key=str) == sorted([(5, a, "w"), (None, b, "y"), (7, c, "z"), (3, "", "q")], key=str)
     every = simhash.components(docs).collect()
@@ -279,9 +288,10 @@ def test_line_dedup_of_structured_words(spark):
     assert {tuple(r)[2:] for r in kept.values()} == {(7, 8, "x", 9, 10, "y")}
 
 
-@pytest.mark.parametrize("hot", [0, 2 << 20])
-def test_repeated_strings(docs, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT_BYTES", hot)
+@pytest.mark.parametrize("most", [0, 900, 2 << 20])
+def test_repeated_strings(docs, monkeypatch, most):
+    """However small a key's limit is, its windows go through strings of up to the whole window."""
+    monkeypatch.setattr(suffix, "MOST_BYTES", most)
     raw = [(i, t.encode()) for i, t in pairs(docs)]
     seen = collections.Counter(x[i : i + 200] for _, x in raw for i in range(len(x) - 199))
     want = collections.Counter()
@@ -300,8 +310,11 @@ def test_interval_expansion_on_small_alphabets():
     for k in range(60):
         segs = [bytes(rng.integers(97, 97 + 2 + k % 4, rng.integers(20, 300), dtype=np.uint8)) for _ in range(6)]
         segs += [segs[0][3:150], segs[1][::-1] + segs[2][:60]]
-        for a, b in zip(suffix.repeated_windows(segs, 15), suffix._by_hash(segs, 15), strict=True):
-            assert a.tolist() == b.tolist()
+        seen = collections.Counter(x[i : i + 15] for x in segs for i in range(len(x) - 14))
+        for x, got in zip(segs, suffix.repeated_windows(segs, 15), strict=True):
+            assert got.tolist() == [i for i in range(len(x) - 14) if seen[x[i : i + 15]] > 1]
+    with pytest.raises(ValueError, match="UTF-8"):
+        suffix.repeated_windows([bytes(range(256))], 15)
 
 
 def test_vector_links(spark):
