@@ -2,32 +2,36 @@
 
 Unit vectors with cosine of ``LEAST`` or more are within squared distance 2 - 2 * LEAST. They are rotated to the principal axes of a bounded sample
 and split into blocks of ``WIDTH`` axes, and in at least one block their squared distance is within that block's share of the budget. Each block is
-range-joined: rows fall into cells of the block's radius along its leading axis and meet rows of their own cell and the next.
-In a task all block distances are taken at once by matrix products; pairs within the budget are verified by cosine in double
-precision, each only in the first of its blocks that admits it, so that links are counted once.
+range-joined: the rows of a label are one task, and a task of more than ``CHUNK`` rows is split along the block's next axis into cells of the block's radius, as far as
+its axes go. A cell's rows meet each other in one task and those of the next cell in another, so a split makes three copies of a row, without its vector, and two rows
+within the radius come together in exactly one task. What is still too large, where many vectors are near each other in a whole block, is cut into chunks that meet in pairs.
 
-Cells of more than ``CHUNK`` rows are cut into chunks, and each pair of chunks is a task of its own. Tasks return counts and a spanning
+In a task all block distances are taken at once by matrix products; pairs within the budget are verified by cosine in double
+precision, each only in the first of its blocks that admits it, so that links are counted once. Tasks return counts and a spanning
 forest of their links, not pairs. Equal vectors of a label are one node with a number of copies.
 
 Rows link only within a label and among vectors of equal length. Vectors that are null, zero, or hold a null or non-finite component, and
 rows without a label link with nothing. Rows that repeat are linked like any other; a null vec_id is no component's id unless it has no other. An empty
-table gives no rows. Extra columns are dropped.
+table gives no rows. Extra columns are dropped. The sample is of ``SAMPLE`` vectors for each of the ``LENGTHS`` most frequent lengths; others keep their axes, which
+changes the work and not the links.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, typed
 from tessera.llm.components import connected_components
 
 LEAST = 0.93
 WIDTH = 8
 CHUNK = 2_048
 SAMPLE = 4_096
+LENGTHS = 16
 SLACK = 1e-9
 
 
@@ -108,7 +112,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def nodes(vectors: DataFrame) -> DataFrame:
     """(node, label, v, copies, least): distinct vectors of each label that can link."""
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = vectors.select("vec_id", "label", F.col("embedding").alias("v")).where("label is not null and v is not null").where(fine)
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("v")).where("label is not null and v is not null").where(fine)
     return v.groupBy("label", "v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")).withColumn("node", _name("label", "v"))
 
 
@@ -117,62 +121,98 @@ def _name(label: str, v: str):
     return F.concat(part(F.col(label), F.col(v)), part(F.lit(11), F.col(label), F.col(v)))
 
 
-def links(each: DataFrame) -> DataFrame:
-    """(node, links, root): for nodes with links, in parts, how many vectors of other nodes are linked, and another node of its component."""
-    sizes = [r[0] for r in each.select(F.size("v").alias("s")).distinct().orderBy("s").collect()]
-    axes = {}
-    for s in sizes:
+def _axes(each: DataFrame) -> dict[int, np.ndarray]:
+    out = {}
+    for s, _ in each.groupBy(F.size("v").alias("s")).count().orderBy(F.desc("count"), "s").limit(LENGTHS).collect():
         rows = each.where(F.size("v") == s).orderBy("node").select("v").limit(SAMPLE).collect()
-        axes[s] = rotation(np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, s), s)
+        out[s] = rotation(np.array([r[0] for r in rows], dtype=np.float64).reshape(-1, s), s)
+    return out
+
+
+def _located(each: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """(label, path, own, first, node, cells): each node in each block, with its cells along the block's axes. ``path`` names the task: here vectors of one length in one block."""
 
     def locate(batches):
         for b in batches:
-            size = np.array([len(v) for v in b.column("v").to_pylist()])
+            size = np.asarray(pc.list_value_length(b.column("v")))
             out = []
             for s in np.unique(size).tolist():
                 mine = np.flatnonzero(size == s)
-                r = turned(unit(np.array(b.column("v").take(pa.array(mine)).to_pylist(), dtype=np.float64)), axes[s])
-                for k, (a, _, most) in enumerate(blocks(s)):
-                    cell = np.floor(r[:, a] / np.sqrt(most)).astype(np.int32)
-                    out.append((mine, np.full(len(mine), k, np.int32), cell))
-            if out:
-                mine, k, cell = (np.concatenate(c) for c in zip(*out, strict=True))
-                who = pa.array(mine)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).take(who) for c in ("node", "label", "v", "copies")), pa.array(k), pa.array(cell)], names=["node", "label", "v", "copies", "block", "cell"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in each.schema.fields}
-    placed = each.select("node", "label", "v", "copies").mapInArrow(locate, f"node string, label {kinds['label']}, v {kinds['v']}, copies long, block int, cell int")
-    placed = stored(placed.withColumn("size", F.size("v")), "cells")
-    where = ["label", "size", "block", "cell"]
-    n = stored(placed.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("k")), "chunks")
-    held = placed.join(n, where)
-    for side, shift in (("k_next", 1), ("k_last", -1)):
-        held = held.join(n.select("label", "size", "block", (F.col("cell") - shift).alias("cell"), F.col("k").alias(side)), where, "left")
-    part = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
-    all_of = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda cell, own, i, j, left: F.struct(cell.alias("cell"), F.lit(own).alias("own"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
-    c = F.col("cell")
-    held = held.withColumn("p", part)
-    p = F.col("p")
-    own = F.transform(all_of(F.col("k")), lambda t: F.struct(c.alias("cell"), F.lit(True).alias("own"), F.least(p, t).alias("i"), F.greatest(p, t).alias("j"), (p <= t).alias("left")))
-    right = F.transform(all_of(F.col("k_last")), lambda t: task(c, False, t, p, False))
-    left = F.transform(all_of(F.col("k_next")), lambda t: task(c + 1, False, p, t, True))
-    dealt = held.select("node", "label", "v", "copies", "size", "block", F.explode(F.concat(own, right, left)).alias("t")).select("node", "label", "v", "copies", "size", "block", "t.*")
+                r = turned(unit(np.array(b.column("v").take(pa.array(mine)).to_pylist(), dtype=np.float64)), axes.get(s, np.eye(s)))
+                for k, (a, e, most) in enumerate(blocks(s)):
+                    cells = np.floor(r[:, a:e] / (np.sqrt(most) * (1 + SLACK))).astype(np.int32)
+                    out.append((mine, np.full((len(mine), 2), (s, k), dtype=np.int32), cells))
+            for mine, path, cells in out:
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (path, cells)]
+                yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(mine)), lists[0], b.column("node").take(pa.array(mine)), lists[1]], names=["label", "path", "node", "cells"])
+
+    found = each.select("node", "label", "v").mapInArrow(locate, typed(each, ["label"], "path array<int>, node string, cells array<int>"))
+    return found.select("label", "path", F.lit(True).alias("own"), F.lit(True).alias("first"), "node", "cells")
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of tasks that can have a pair, with the number of rows on either side; all rows of a task of its own are on the first."""
+    task = ["label", "path", "own"]
+    n = rows.groupBy(*task).agg(F.count_if("first").alias("a"), F.count_if(~F.col("first")).alias("b"))
+    return rows.join(n.where("own and a > 1 or a > 0 and b > 0"), task)
+
+
+def _divided(rows: DataFrame, axis: int) -> DataFrame:
+    """The tasks of ``rows`` split along an axis: a path gets the cell of the first side and, as another number, what it meets."""
+    c = F.get("cells", F.lit(axis))
+    to = lambda cell, kind, own, first: F.struct(F.concat("path", F.array(cell, F.lit(kind))).alias("path"), F.lit(own).alias("own"), F.lit(first).alias("first"))
+    alone = F.array(to(c, 0, True, True), to(c, 1, False, True), to(c - 1, 1, False, False))  # among themselves, with the next cell's, with those of the cell before
+    left = F.array(*[to(c, 3 + d, False, True) for d in (-1, 0, 1)])
+    right = F.array(*[to(c - d, 3 + d, False, False) for d in (-1, 0, 1)])
+    spots = F.when(F.col("own"), alone).when(F.col("first"), left).otherwise(right)
+    return rows.select("label", F.explode(spots).alias("t"), "node", "cells").select("label", "t.path", "t.own", "t.first", "node", "cells")
+
+
+def _dealt(each: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """(label, path, own, i, j, first, node): who meets in which task."""
+    todo, out = _located(each, axes), []
+    for axis in range(WIDTH):
+        held = stored(_sized(todo), "tasks")
+        large = (F.col("a") + F.col("b") > CHUNK) & (F.size("cells") > axis)
+        out.append(held.where(~large))
+        if held.where(large).isEmpty():
+            break
+        todo = _divided(held.where(large), axis)
+    else:
+        out.append(stored(_sized(todo), "tasks"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    many = lambda n: F.greatest(F.lit(1), F.ceil(n / CHUNK)).cast("int")
+    ka, kb = many(F.col("a")), many(F.col("b"))
+    p = F.pmod(F.xxhash64("node"), F.when(F.col("first"), ka).otherwise(kb)).cast("int")
+    every = lambda k: F.sequence(F.lit(0), k - 1)
+    spot = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), first.alias("first"))
+    own = F.transform(every(ka), lambda t: spot(F.least(p, t), F.greatest(p, t), p <= t))
+    across = F.when(F.col("first"), F.transform(every(kb), lambda t: spot(p, t, F.lit(True)))).otherwise(F.transform(every(ka), lambda t: spot(t, p, F.lit(False))))
+    return rows.select("label", "path", "own", F.explode(F.when(F.col("own"), own).otherwise(across)).alias("t"), "node").select("label", "path", "own", "t.i", "t.j", "t.first", "node")
+
+
+def links(each: DataFrame) -> DataFrame:
+    """(node, links, root): for nodes with links, in parts, how many vectors of other nodes are linked, and another node of its component."""
+    axes = _axes(each)
+    dealt = _dealt(each, axes).join(each.select("node", "v", "copies"), "node")
 
     def meet(key, t):
-        _, size, block, _, own, i, j = (k.as_py() for k in key)
+        _, path, own, i, j = (k.as_py() for k in key)
+        size, block = path[:2]
         node, copies = np.array(t.column("node").to_pylist(), dtype=object), np.asarray(t.column("copies"))
         v = np.asarray(t.column("v").combine_chunks().flatten()).astype(np.float64).reshape(-1, size)
-        is_left = np.asarray(t.column("left"))
-        a = np.flatnonzero(is_left)
+        is_left = np.asarray(t.column("first"))
+        a, turn = np.flatnonzero(is_left), axes.get(size, np.eye(size))
         if own and i == j:
-            s, e = pairs(v, None, axes[size], block)
+            s, e = pairs(v, None, turn, block)
         else:
             b = np.flatnonzero(~is_left)
             if not len(a) or not len(b):
                 s = e = np.zeros(0, np.int64)
             else:
-                s, e = pairs(v[a], v[b], axes[size], block)
+                s, e = pairs(v[a], v[b], turn, block)
                 s, e = a[s], b[e]
         count = np.zeros(len(node), dtype=np.int64)
         np.add.at(count, s, copies[e])
@@ -181,7 +221,7 @@ def links(each: DataFrame) -> DataFrame:
         hit = np.flatnonzero(count)
         return pa.table({"node": pa.array(node[hit], pa.string()), "links": pa.array(count[hit], pa.int64()), "root": pa.array(node[root[hit]], pa.string())})
 
-    return dealt.groupBy("label", "size", "block", "cell", "own", "i", "j").applyInArrow(meet, "node string, links long, root string")
+    return dealt.groupBy("label", "path", "own", "i", "j").applyInArrow(meet, "node string, links long, root string")
 
 
 def components(vectors: DataFrame) -> DataFrame:
