@@ -96,5 +96,29 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 """
 
 
+#: Lines whose set of five-word shingles, or all of whose words, is like an earlier line's; every pair with a token in common is counted.
+OP5_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), worded AS (
+    SELECT doc_id, i, raw, list_filter(regexp_split_to_array(lower(raw), '[ \\t\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM lines
+), named AS (
+    SELECT doc_id, i, raw, w, array_to_string(w, ' ') AS name FROM worded
+), firsts AS (
+    SELECT name, min((doc_id, i)) AS place, any_value(w) AS w FROM named WHERE len(w) > 0 GROUP BY name
+), tokens AS (
+    SELECT name, place, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [name] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS t FROM firsts
+), sizes AS (SELECT name, count(*) AS n FROM tokens GROUP BY name
+), alike AS (
+    SELECT a.name, b.name AS other, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND b.place < a.place GROUP BY 1, 2
+), gone AS (
+    SELECT DISTINCT alike.name FROM alike JOIN sizes x ON x.name = alike.name JOIN sizes y ON y.name = alike.other WHERE 9 * c >= 4 * (x.n + y.n)
+), judged AS (
+    SELECT named.*, len(named.w) > 0 AND (gone.name IS NOT NULL OR (doc_id, i) <> place) AS removed FROM named LEFT JOIN firsts ON firsts.name = named.name LEFT JOIN gone ON gone.name = named.name
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256 FROM judged GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embeddings": OP7_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op7_embeddings": OP7_SQL}

@@ -305,7 +305,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*IDENT, "n", "hot", "raw"])
 
     segments = arrow_map(texts.join(wanted, ["t1", "t2"]).select("text", "s"), cut, f"{_IDENT}, n int, hot boolean, raw binary")
-    found = stored(_found(stored(segments, "segments"), length, 1), "found")
+    segments = stored(segments, "segments")
+    found = stored(_found(segments, length, 1), "found")
+    discard(segments)
     # rows of one text, and of its copies, are the same
     placed = shared.select("t1", "t2", "at", *IDENT).join(found, IDENT)
     return placed.groupBy("t1", "t2").agg(F.collect_set(F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + length).alias("b"))).alias("spans"))
