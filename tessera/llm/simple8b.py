@@ -18,19 +18,23 @@ _WIDEST = np.uint64((1 << 60) - 1)
 def _fitting(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each position of the block-shaped values, the selector of the word that would begin there and how many values it takes."""
     n = len(values)
-    at = np.arange(n)
-    left = np.minimum(BLOCK - at % BLOCK, n - at)
+    at = np.arange(n) % BLOCK
+    left = np.minimum(np.minimum(BLOCK - at, n - np.arange(n)), 255).astype(np.uint8)  # a word that reaches past its block's end holds only what is left of it
+    class_ = np.zeros(n, dtype=np.uint8)  # the least width that a value fits, counted in SELECTORS
+    for _, width in SELECTORS:
+        class_ += values >= np.uint64(1 << width)
+    # the greatest class of as many values from each position on: of a power of two first, then of two such stretches that overlap
+    widest = {1: class_}
+    for k in (1, 2, 4, 8, 16, 32):
+        widest[2 * k] = np.maximum(widest[k][: max(0, len(widest[k]) - k)], widest[k][k:])
     selector = np.zeros(n, dtype=np.uint8)
     for s in range(len(SELECTORS), 0, -1):  # from few values to many, so the densest that fits stays
-        count, width = SELECTORS[s - 1]
-        wide = values >= np.uint64(1 << width)
-        if count > 1:
-            before = np.concatenate(([0], np.cumsum(wide)))
-            ok = before[np.minimum(at + count, n)] == before[:-1]
-            # a word that reaches past its block's end holds only what is left of it
-            selector[ok & (left >= count)] = s
-        else:
-            selector[~wide] = s
+        count = SELECTORS[s - 1][0]
+        half = 1 << (count.bit_length() - 1)
+        if n >= count:
+            over = widest[half]
+            most = np.maximum(over[: n - count + 1], over[count - half : n - half + 1])
+            selector[: n - count + 1][(most < s) & (left[: n - count + 1] >= count)] = s
     taken = np.array([1, *(c for c, _ in SELECTORS)], dtype=np.int64)[selector]
     return selector, taken
 
