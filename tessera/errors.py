@@ -65,6 +65,10 @@ class Conflict(QueryError):
     """A change that may not be committed as it stands."""
 
 
+class RuleBroken(Conflict):
+    """A change after which a required rule would not hold."""
+
+
 class NonReversible(QueryError):
     pass
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.errors import QueryError
+from tessera.sources.store import stored
 
 STEP = 32
 #: Windows of the exponent of a double, from that of the least subnormal on.
@@ -87,19 +88,24 @@ def to_double(windows: list[tuple[int, int, int, int]]) -> float:
         return float("inf") if total > 0 else float("-inf")
 
 
-def exact_sum(df: DataFrame, by: dict[str, Column], value: Column, shown: dict[str, Column], name: str) -> DataFrame:
+def exact_sum(df: DataFrame, by: dict[str, Column], value: Column, shown: dict[str, Column], name: str, weight: Column | None = None) -> DataFrame:
     """The ``by`` columns, the least of each of ``shown``, and the exact sum of ``value``; a single row with 0.0 for no keys and no rows.
 
     Values that are null don't count. A limb's sum stays within 64 bits for 2**31 rows of one group and window; ANSI mode raises beyond.
+    With ``weight`` each row counts so many times, and a group whose weights sum to 0 has no row.
     """
-    held = df.select(*[c.alias(n) for n, c in by.items()], *[c.alias(n) for n, c in shown.items()], _finite(value).alias("_v"))
+    w = F.lit(1).cast("long") if weight is None else weight
+    held = df.select(*[c.alias(n) for n, c in by.items()], *[c.alias(n) for n, c in shown.items()], _finite(value).alias("_v"), w.alias("_times"))
     # a step for each part, so that none is computed again for every use
     held = held.withColumn("_low", low_bit(F.col("_v"))).withColumn("_m", mantissa(F.col("_v"), F.col("_low")))
-    held = held.select(*by, *shown, limbs(F.col("_v"), F.col("_low"), F.col("_m")).alias("_x"))
+    held = held.select(*by, *shown, "_times", limbs(F.col("_v"), F.col("_low"), F.col("_m")).alias("_x"))
     least = [F.min(n).alias(n) for n in shown]
-    parts = held.groupBy(*by, F.col("_x.w").alias("w")).agg(*[F.sum(f"_x.l{k}").alias(f"s{k}") for k in range(3)], *least)
+    parts = held.groupBy(*by, F.col("_x.w").alias("w")).agg(*[F.sum(F.col(f"_x.l{k}") if weight is None else F.col(f"_x.l{k}") * F.col("_times")).alias(f"s{k}") for k in range(3)], F.sum("_times").alias("_times"), *least)
     windows = F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "s0", "s1", "s2"))).alias("_w")  # MOST_WINDOWS at most
-    return parts.groupBy(*by).agg(windows, *least).select(*by, *shown, _rounded("_w").alias(name))
+    sums = parts.groupBy(*by).agg(windows, F.sum("_times").alias("_times"), *least)
+    if weight is not None and by:
+        sums = sums.where("_times <> 0")
+    return sums.select(*by, *shown, _rounded("_w").alias(name))
 
 
 def decimal_sum(df: DataFrame, by: list[str], value: str, scale: int, name: str) -> DataFrame:
@@ -113,23 +119,35 @@ def decimal_sum(df: DataFrame, by: list[str], value: str, scale: int, name: str)
 # order statistics: of a multiset in its order, with places from 0
 
 
-def order_statistic(df: DataFrame, by: list[str], value: str, key: Column, statistic: str, at: float | int = 0, name: str = "stat") -> DataFrame:
+def order_statistic(df: DataFrame, by: list[str], value: str, key: Column, statistic: str, at: float | int = 0, name: str = "stat", spread: bool | None = None) -> DataFrame:
     """One of ``min``, ``max``, ``kth_start``, ``kth_end`` (places from 0) and ``lower_quantile`` (place floor(p * (n - 1))) by group.
 
-    Groups without such a place have no row. Values are counted first, so what is sorted are a group's distinct values.
+    Groups without such a place have no row. Values are counted first, so what is sorted are a group's distinct values. With ``spread``, as always without
+    groups, no task holds all of a group: values are dealt by ranges, and only the range that has the place, told by the ranges' totals, is looked at again.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.struct(key.alias("o")).alias("_o")).agg(F.min(value).alias("_v"), F.count(F.lit(1)).alias("_c"))
     if statistic in ("min", "max"):
         pick = F.min_by if statistic == "min" else F.max_by
         return counted.groupBy(*by).agg(pick("_v", "_o").alias(name)).where(F.col(name).isNotNull())
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("_c").over(w.orderBy("_o"))
-    placed = counted.withColumns({"_hi": upto, "_n": F.sum("_c").over(w)})
     n = F.col("_n")
     place = {"kth_start": F.lit(int(at) if statistic != "lower_quantile" else 0), "kth_end": n - 1 - F.lit(int(at) if statistic != "lower_quantile" else 0), "lower_quantile": F.floor(F.lit(float(at)) * (n - 1).cast("double"))}.get(statistic)
     if place is None or statistic == "lower_quantile" and not 0 <= at <= 1:
         raise QueryError(f"no order statistic {statistic} at {at}")
-    return placed.where((place >= F.col("_hi") - F.col("_c")) & (place < F.col("_hi"))).select(*by, F.col("_v").alias(name))
+    if spread is False or spread is None and by:
+        w = Window.partitionBy(*by)
+        placed = counted.withColumns({"_hi": F.sum("_c").over(w.orderBy("_o")), "_n": F.sum("_c").over(w)})
+        return placed.where((place >= F.col("_hi") - F.col("_c")) & (place < F.col("_hi"))).select(*by, F.col("_v").alias(name))
+    dealt = stored(counted.repartitionByRange(*by, "_o").withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*by, "_range").agg(F.sum("_c").alias("_t"))  # a row for each range, and group that is in it
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    found = totals.withColumns({"_upto": F.sum("_t").over(w.orderBy("_range")), "_n": F.sum("_t").over(w)})
+    found = found.where((place >= F.col("_upto") - F.col("_t")) & (place < F.col("_upto"))).withColumn("_left", place - F.col("_upto") + F.col("_t"))
+    found = found.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), "_left")
+    same = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    near = dealt.join(found, same).withColumn("_hi", F.sum("_c").over(Window.partitionBy(*by, "_range").orderBy("_o")))
+    return near.where((F.col("_left") >= F.col("_hi") - F.col("_c")) & (F.col("_left") < F.col("_hi"))).select(*by, F.col("_v").alias(name))
 
 
 def rank_below(df: DataFrame, by: list[str], key: Column, bound: Column, name: str = "rank") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import AtomOutsideCarrier, LimitExceeded, NonFiniteMultiplicity
-from tessera.sources.store import discard, stored
+from tessera.sources.store import discard, stored, stored_with_count
 
 INFINITE = None
 
@@ -24,8 +24,8 @@ def reachability(seeds: DataFrame, edges: DataFrame, most_rounds: int = 10_000)
     for rank in range(1, most_rounds + 1):
         step = edges.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         new = step.where("node is not null").join(known.select("node"), "node", "left_anti").select("node", F.lit(rank).alias("rank"), "parent")
-        front = stored(new, "front")
-        if front.isEmpty():
+        front, n = stored_with_count(new, "front")
+        if not n:
             break
         levels.append(front)
         known = known.unionByName(front)
@@ -70,8 +70,8 @@ def horn_closure(facts: DataFrame, rules: DataFrame, most_rounds: int = 10_000)
     for _ in range(most_rounds):
         met = need.join(known, "atom").groupBy("rule").agg(F.count(F.lit(1)).alias("m"))
         ready = size.join(met, "rule", "left").where("coalesce(m, 0) = n").select(F.col("head").alias("atom"))
-        new = stored(ready.distinct().join(known, "atom", "left_anti"), "new")
-        if new.isEmpty():
+        new, n = stored_with_count(ready.distinct().join(known, "atom", "left_anti"), "new")
+        if not n:
             return known
         after = stored(known.unionByName(new), "known")
         discard(known)

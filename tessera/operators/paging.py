@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -29,20 +29,40 @@ class Page:
 
 @dataclass(frozen=True)
 class OrderedView:
-    """``df`` by column ``column`` under ``order``. Within an order class rows ascend by row key, whatever the direction; repeated rows are counted, not sorted."""
+    """``df`` by column ``column`` under ``order``. Within an order class rows ascend by row key, whatever the direction; repeated rows are counted, not sorted.
+
+    With ``weight``, a column of ``df`` tells how often a row is there, maybe in parts.
+    """
 
     df: DataFrame
     type: RelType
     column: int
     order: Order
     descending: bool = False
+    weight: str | None = None
+
+    @property
+    def names(self) -> list[str]:
+        return [c for c in self.df.columns if c != self.weight]
+
+    def advanced(self, change: DataFrame) -> OrderedView:
+        """The view after a change, weighted rows (_w) that come and go; cursors hold as long as their row is there."""
+        now = self.df if self.weight else self.df.withColumn("_w", F.lit(1).cast("long"))
+        return replace(self, df=now.unionByName(change.withColumnRenamed("_w", self.weight or "_w")), weight=self.weight or "_w")
+
+    def page_change(self, change: DataFrame, limit: int, after: Cursor | None = None) -> DataFrame:
+        """Weighted rows by which a page's rows change with the view: 2 x ``limit`` rows at most."""
+        page = lambda v, w: v.frame(limit, after).select(*self.names, F.lit(w).cast("long").alias("_w"))
+        both = page(self.advanced(change), 1).unionByName(page(self, -1))
+        return both.groupBy(*self.names).agg(F.sum("_w").alias("_w")).where("_w <> 0")
 
     def _runs(self) -> DataFrame:
-        names = self.df.columns
+        names = self.names
         key = F.struct(*[eq_key(F.col(n), e, t).alias(f"k{i}") for i, (n, e, t) in enumerate(zip(names, self.type.eqs, self.type.columns, strict=True))])
         o = F.struct(order_key(F.col(names[self.column]), self.order, self.type.columns[self.column]).alias("o"))
         marked = self.df.withColumns({"_o": o, "_k": key})
-        return marked.groupBy("_o", "_k").agg(F.min(F.struct(*names)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+        runs = marked.groupBy("_o", "_k").agg(F.min(F.struct(*names)).alias("_r"), (F.sum(self.weight) if self.weight else F.count(F.lit(1))).alias("_n"))
+        return runs.where("_n > 0") if self.weight else runs
 
     def _after(self, cursor: Cursor, kinds) -> Column:
         o, k = F.from_json(F.lit(cursor.order), kinds["_o"].dataType), F.from_json(F.lit(cursor.row), kinds["_k"].dataType)
@@ -76,7 +96,7 @@ class OrderedView:
             if runs.where(F.col("_o").eqNullSafe(o) & F.col("_k").eqNullSafe(k) & (F.col("_n") > after.occurrence)).isEmpty():
                 raise InvalidCursor("the cursor's row is not in the view")
         found = self.frame(limit + 1, after).withColumns({"_o": F.to_json("_o", {"ignoreNullFields": "false"}), "_k": F.to_json("_k", {"ignoreNullFields": "false"})}).collect()
-        names = self.df.columns
+        names = self.names
         rows = [Row(**{n: r[n] for n in names}) for r in found[:limit]]
         last = found[limit - 1] if len(found) > limit else None
         return Page(rows, Cursor(last["_o"], last["_k"], last["_occ"]) if last is not None else None)

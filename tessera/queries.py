@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import types as ty
+from tessera.errors import RuleBroken
 from tessera.api.objects import Objects
 from tessera.api.query import Query, col, scan
 from tessera.functions import scalar as sc
@@ -19,7 +20,11 @@ from tessera.plans import nodes as n
 from tessera.schema import SET, Entity, Field, Relation
 from tessera.sources import migrate
 from tessera.sources.catalog import Catalog, star
+from tessera.sources.changelog import Store, added
+from tessera.sources.index import Index
+from tessera.sources.store import new_path
 from tessera.streaming import zset as z
+from tessera.streaming.maintained import Maintained
 from tessera.streaming.watch import delta
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +62,26 @@ def objects(spark: SparkSession, d: str) -> Catalog:
     return c
 
 
+# indexes
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
+def index_lookup(spark, d):
+    c = star(spark, d, "orders", "supplier")
+    orders = c.read("orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    r = Relation("orders", (("o_orderkey", ty.I64), ("o_custkey", ty.I64), ("o_totalprice", ty.F64)))
+    return Index(r, ("o_custkey",), orders).lookup(c.read("supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("o_custkey")))
+
+
+@query("SELECT c_custkey, k, n FROM customer JOIN (SELECT lower(c_mktsegment) AS k, count(*) AS n FROM customer GROUP BY 1) ON lower(c_mktsegment) = k")
+def index_join(spark, d):
+    """Customers by segment without regard to case, looked up by segments spelled otherwise."""
+    customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment")
+    r = Relation("customer", (("c_custkey", ty.I64), ("c_mktsegment", ty.TEXT)), "bag", (Eq("i64"), Eq("text_ci")))
+    spelled = customers.groupBy(F.lower("c_mktsegment").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return Index(r, ("c_mktsegment",), customers).join(spelled, ("k",)).select("c_custkey", "k", "n")
+
+
 # the flagship
 
 
@@ -174,11 +199,18 @@ def join_multi_key(spark, d):
     return left.join(scan(c, "supplier"), ("l_suppkey", "s_suppkey"), ("c_nationkey", "s_nationkey")).select("l_orderkey", "l_linenumber", "s_name").frame()
 
 
-@query("SELECT a.n_name, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+@query("SELECT a.o_orderkey, b.o_totalprice AS other FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey")
 def join_self(spark, d):
-    a = _q(spark, d, "nation")
-    b = a.rename(n_nationkey="k2", n_name="other", n_regionkey="r2")
-    return a.join(b, ("n_regionkey", "r2")).select("n_name", "other").frame()
+    a = _q(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return a.join(a.rename(o_orderkey="k2", o_totalprice="other"), ("o_orderkey", "k2")).select("o_orderkey", "other").frame()
+
+
+@query("SELECT a.event_id, coalesce(b.k, -1) AS k FROM (SELECT event_id, nullif(user_id % 7, 0) AS k FROM events) a JOIN (SELECT DISTINCT nullif(c_custkey % 7, 0) AS k FROM customer) b ON a.k IS NOT DISTINCT FROM b.k")
+def join_optional(spark, d):
+    c = Catalog(spark)
+    c.declare("events", spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "nullif(user_id % 7, 0) as k"), options=("k",))
+    c.declare("keys", spark.read.parquet(f"{d}/customer.parquet").selectExpr("nullif(c_custkey % 7, 0) as k2").distinct(), options=("k2",))
+    return scan(c, "events").join(scan(c, "keys"), ("k", "k2")).frame().select("event_id", F.coalesce("k2", F.lit(-1)).alias("k"))
 
 
 @query("SELECT r_name, n_name, s_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey")
@@ -187,16 +219,8 @@ def join_three_way(spark, d):
     return scan(c, "region").join(scan(c, "nation"), ("r_regionkey", "n_regionkey")).join(scan(c, "supplier"), ("n_nationkey", "s_nationkey")).select("r_name", "n_name", "s_name").frame()
 
 
-@query("SELECT c_custkey, p_partkey FROM customer, part WHERE lower(substr(c_mktsegment, 1, 5)) = lower(substr(p_type, 1, 5)) AND c_custkey <= 50 AND p_partkey <= 50")
-def join_ci_text(spark, d):
-    c = Catalog(spark)
-    c.declare("segments", spark.read.parquet(f"{d}/customer.parquet").where("c_custkey <= 50").selectExpr("c_custkey", "substr(c_mktsegment, 1, 5) as seg"))
-    c.declare("types", spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 50").selectExpr("p_partkey", "substr(p_type, 1, 5) as typ"))
-    return scan(c, "segments").join(scan(c, "types"), ("seg", "typ"), ci=True).select("c_custkey", "p_partkey").frame()
-
-
 @query("SELECT c_custkey, segment, n FROM customer JOIN (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS segment, count(*) AS n FROM customer GROUP BY 1) ON lower(c_mktsegment) = lower(segment)")
-def join_ci_text_whole(spark, d):
+def join_ci_text(spark, d):
     c = star(spark, d, "customer")
     c.declare("spelled", spark.read.parquet(f"{d}/customer.parquet").selectExpr("if(c_custkey % 2 = 0, lower(c_mktsegment), c_mktsegment) as segment"))
     return scan(c, "customer").join(scan(c, "spelled").group("segment").count("n"), ("c_mktsegment", "segment"), ci=True).select("c_custkey", "segment", "n").frame()
@@ -208,10 +232,11 @@ def semi_join(spark, d):
     return scan(c, "customer").semi_join(scan(c, "orders").where(col("o_totalprice") > 200000.0), "c_custkey", "o_custkey").select("c_custkey").frame()
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 150000)")
 def anti_join(spark, d):
     c = star(spark, d, "customer", "orders")
-    return scan(c, "customer").anti_join(scan(c, "orders"), "c_custkey", "o_custkey").select("c_custkey").frame()
+    large = scan(c, "orders").where((col("o_orderstatus") == "F") & (col("o_totalprice") > 150000.0))
+    return scan(c, "customer").anti_join(large, "c_custkey", "o_custkey").select("c_custkey").frame()
 
 
 @query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
@@ -392,19 +417,29 @@ def page_after_cursor(spark, d):
     return v.frame(25, v.page(25).next).select("p_size", "p_brand")
 
 
+@query("SELECT p_size::BIGINT AS p_size, p_brand FROM (SELECT p_size, p_brand, row_number() OVER (ORDER BY p_size, p_brand) AS i FROM part WHERE p_partkey % 10 <> 0) WHERE i BETWEEN 26 AND 50")
+def page_advanced(spark, d):
+    """The second page of a view that a tenth of the parts has left."""
+    q = _q(spark, d, "part").select("p_size", "p_brand")
+    gone = _q(spark, d, "part").frame().where("p_partkey % 10 = 0").select(F.col("p_size").cast("long").alias("p_size"), "p_brand")
+    v = OrderedView(q.frame(), q.type, 0, Order("i64")).advanced(z.weighted(gone, -1))
+    return v.frame(25, v.page(25).next).select("p_size", "p_brand")
+
+
 @query("SELECT c_nationkey::BIGINT AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_set(spark, d):
     return _set(spark, d, "customer", "c_nationkey").rename(c_nationkey="k").union(_set(spark, d, "supplier", "s_nationkey")).frame()
 
 
-@query("SELECT c_nationkey::BIGINT AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+@query("SELECT l_orderkey AS k FROM lineitem UNION ALL SELECT o_orderkey FROM orders")
 def union_bag(spark, d):
-    return _q(spark, d, "customer").select("c_nationkey").rename(c_nationkey="k").union(_q(spark, d, "supplier").select("s_nationkey")).frame()
+    return _q(spark, d, "lineitem").select("l_orderkey").rename(l_orderkey="k").union(_q(spark, d, "orders").select("o_orderkey")).frame()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
 def difference_set(spark, d):
-    return _set(spark, d, "customer", "c_custkey").rename(c_custkey="k").difference(_set(spark, d, "orders", "o_custkey")).frame()
+    large = _q(spark, d, "orders").where((col("o_orderstatus") == "F") & (col("o_totalprice") > 150000.0)).select("o_custkey").distinct()
+    return _set(spark, d, "customer", "c_custkey").rename(c_custkey="k").difference(large).frame()
 
 
 @query("SELECT c_nationkey::BIGINT AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
@@ -460,9 +495,9 @@ def rule_all(spark, d):
     return rules.every(spark.read.parquet(f"{d}/customer.parquet"), "positive", F.col("c_acctbal") > 0)
 
 
-@query("SELECT 'per nation' AS rule, c_nationkey::VARCHAR AS witness, (3 - count(*) FILTER (c_acctbal > 8000))::DOUBLE AS mass FROM customer GROUP BY c_nationkey HAVING count(*) FILTER (c_acctbal > 8000) < 3")
+@query("SELECT 'per supplier' AS rule, l_suppkey::VARCHAR AS witness, (120 - count(*) FILTER (l_quantity > 40))::DOUBLE AS mass FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_quantity > 40) < 120")
 def rule_grouped_count(spark, d):
-    return rules.count_range(spark.read.parquet(f"{d}/customer.parquet"), "per nation", F.col("c_acctbal") > 8000, low=3, by=("c_nationkey",))
+    return rules.count_range(spark.read.parquet(f"{d}/lineitem.parquet"), "per supplier", F.col("l_quantity") > 40, low=120, by=("l_suppkey",))
 
 
 @query("SELECT 'quantity' AS rule, l_returnflag AS witness, (sum(l_quantity::DECIMAL(18,2))::DOUBLE - 1000.0)::DOUBLE AS mass FROM lineitem GROUP BY l_returnflag HAVING sum(l_quantity) > 1000")
@@ -481,6 +516,18 @@ def rule_compare(spark, d):
     return rules.compare(a, b, "fewer suppliers", lambda x, y: x < y)
 
 
+@query("SELECT 'balance' AS rule, 'all' AS witness, greatest(abs(a - b), 1.0)::DOUBLE AS mass FROM (SELECT sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS a FROM orders), (SELECT sum(c_acctbal::DECIMAL(18,2))::DOUBLE AS b FROM customer) WHERE NOT a <= b")
+def rule_compare_sums(spark, d):
+    total = lambda t, c: exact.exact_sum(spark.read.parquet(f"{d}/{t}.parquet"), {}, F.col(c), {}, "total")
+    return rules.compare(total("orders", "o_totalprice"), total("customer", "c_acctbal"), "balance", lambda x, y: x <= y)
+
+
+@query("SELECT 'medians' AS rule, 'all' AS witness, greatest(abs(a.v - b.v), 1.0)::DOUBLE AS mass FROM (SELECT o_totalprice AS v FROM (SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders) WHERE i = floor(0.5::DOUBLE * (n - 1))) a, (SELECT l_extendedprice AS v FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice) - 1 AS i, count(*) OVER () AS n FROM lineitem) WHERE i = floor(0.5::DOUBLE * (n - 1))) b WHERE NOT a.v < b.v")
+def rule_compare_statistics(spark, d):
+    median = lambda t, c: exact.order_statistic(spark.read.parquet(f"{d}/{t}.parquet"), [], c, F.col(c), "lower_quantile", 0.5)
+    return rules.compare(median("orders", "o_totalprice"), median("lineitem", "l_extendedprice"), "medians", lambda x, y: x < y)
+
+
 @query("SELECT 'one order' AS rule, o_custkey::VARCHAR AS witness, (count(*) - 1)::DOUBLE AS mass FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def rule_uniqueness(spark, d):
     return rules.unique(spark.read.parquet(f"{d}/orders.parquet"), "one order", F.col("o_custkey"))
@@ -507,10 +554,11 @@ def scalar_add(spark, d):
     return df.select("l_orderkey", sc.Add(sc.field("l_orderkey"), sc.field("l_linenumber")).column(row).alias("s"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size = p_size THEN p_brand ELSE p_name END AS s FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand ELSE p_name END AS s FROM part")
 def scalar_if(spark, d):
-    df, row = _row(spark, d, "part")
-    return df.select("p_partkey", sc.If(sc.Const(True, ty.BOOL), sc.field("p_brand"), sc.field("p_name")).column(row).alias("s"))
+    df = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "p_size > 25 as big", "p_brand", "p_name")
+    row = ty.Product((("p_partkey", ty.I64), ("big", ty.BOOL), ("p_brand", ty.TEXT), ("p_name", ty.TEXT)))
+    return df.select("p_partkey", sc.If(sc.field("big"), sc.field("p_brand"), sc.field("p_name")).column(row).alias("s"))
 
 
 @query("SELECT vec_id, len(embedding)::BIGINT AS k FROM embeddings")
@@ -519,11 +567,11 @@ def seq_length(spark, d):
     return df.select("vec_id", sc.Length(sc.field("embedding")).column(row).alias("k"))
 
 
-@query("SELECT o_custkey, sum(o_orderkey)::BIGINT AS s FROM orders GROUP BY 1")
+@query("SELECT p_partkey, (p_size * (p_size + 1) // 2)::BIGINT AS s FROM part")
 def seq_sum(spark, d):
-    df = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids"))
-    row = ty.Product((("o_custkey", ty.I64), ("ids", ty.Seq(ty.I64))))
-    return df.select("o_custkey", sc.SumI64(sc.field("ids")).column(row).alias("s"))
+    df = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "sequence(1L, cast(p_size as bigint)) as ids")
+    row = ty.Product((("p_partkey", ty.I64), ("ids", ty.Seq(ty.I64))))
+    return df.select("p_partkey", sc.SumI64(sc.field("ids")).column(row).alias("s"))
 
 
 @query("SELECT p_partkey, p_size::DOUBLE AS x FROM part")
@@ -543,7 +591,7 @@ def tokenize_lower(spark, d):
     return words.groupBy("role", "word").agg(F.count(F.lit(1)).alias("k"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS tag FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS tag, CASE WHEN p_size > 25 THEN p_size ELSE -1 END::BIGINT AS big, CASE WHEN p_size <= 25 THEN p_size ELSE -1 END::BIGINT AS small, '-' AS none FROM part")
 def widen_sum(spark, d):
     small = ty.Sum((("big", ty.I64), ("small", ty.I64)))
     wide = ty.Sum((*small.variants, ("none", ty.TEXT)))
@@ -551,7 +599,8 @@ def widen_sum(spark, d):
     v = F.struct(F.when(size > 25, "big").otherwise("small").alias("tag"), F.when(size > 25, size).alias("big"), F.when(size <= 25, size).alias("small"))
     df = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", v.alias("v"))
     out = sc.Widen(sc.field("v"), wide).column(ty.Product((("p_partkey", ty.I64), ("v", small))))
-    return df.select("p_partkey", out.getField("tag").alias("tag"))
+    absent = lambda c, x: F.coalesce(F.col(f"v.{c}"), F.lit(x)).alias(c)
+    return df.select("p_partkey", out.alias("v")).select("p_partkey", "v.tag", absent("big", -1), absent("small", -1), absent("none", "-"))
 
 
 # history and changes: events as a log, ten revisions by event_id
@@ -562,9 +611,60 @@ def _log(spark, d) -> DataFrame:
     return e.withColumns({"rev": F.pmod("event_id", F.lit(10)), z.W: F.lit(1).cast("long")})
 
 
+def _store(spark, d) -> Store:
+    """Events by event_id modulo 10: 0 to 4 are the base, 5, 6 and 7 come by revisions 1 to 3, and revision 4 takes away 0."""
+    log = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    part = lambda *k: log.where(F.pmod("event_id", F.lit(10)).isin(*k))
+    store = Store(spark, new_path(spark, "events"))
+    store.create("events", part(0, 1, 2, 3, 4))
+    for k in (5, 6, 7):
+        store.commit(f"t{k}", {"events": added(part(k))})
+    store.delete("t0", "events", F.pmod("event_id", F.lit(10)) == 0)
+    return store
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <= 6")
 def at_revision(spark, d):
-    return z.expand(z.compact(_log(spark, d).where("rev <= 6").select("event_id", "user_id", "event_type", z.W)))
+    return _store(spark, d).at("events", 2).select("event_id", "user_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_id % 10 <= 6 UNION ALL SELECT event_id, 'late' AS event_type FROM events WHERE event_id % 10 = 7")
+def commit_undo(spark, d):
+    """The deletion is undone, then what revision 3 brought is updated; folding leaves the rows as they are."""
+    store = _store(spark, d)
+    store.undo_latest()
+    store.update("late", "events", F.pmod("event_id", F.lit(10)) == 7, {"event_type": F.lit("late")})
+    store.compacted("events")
+    return store.at("events").select("event_id", "event_type")
+
+
+@query("SELECT 'kept' AS outcome, count(*) AS n FROM events WHERE event_id % 10 BETWEEN 1 AND 7 UNION ALL SELECT 'refused', count(*) FROM events WHERE event_id % 10 = 8 AND value > 100")
+def commit_rules(spark, d):
+    """A commit that breaks a required rule is refused and its preview names what breaks it; the store keeps its rows."""
+    store = _store(spark, d)
+    more = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", "value").where("event_id % 10 = 8")
+    high = lambda read: rules.rows(read("events"), "value", "event_id", (F.pmod("event_id", F.lit(10)) != 8) | (F.col("value") <= 100))
+    store.require("value", ("events",), high)
+    try:
+        store.commit("t8", {"events": added(more)})
+        left = spark.range(0).selectExpr("'committed' as witness")
+    except RuleBroken:
+        left = high(store.preview({"events": added(more)}).rows)
+    count = lambda df, name: df.agg(F.lit(name).alias("outcome"), F.count(F.lit(1)).alias("n"))
+    return count(store.at("events"), "kept").unionByName(count(left, "refused"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 <> 0 UNION ALL SELECT -o_orderkey, 1.0 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 10 = 0")
+def view_put_back(spark, d):
+    """A filtered and projected view loses some rows and gains others; the orders are changed so that the view is as asked."""
+    c = Catalog(spark)
+    c.declare("orders", spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    view = scan(c, "orders").where(col("o_orderstatus") == "F").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    gone = view.frame().where("o_orderkey % 10 = 0")
+    asked = z.change(gone.selectExpr("-o_orderkey as o_orderkey", "o_orderstatus", "cast(1.0 as double) as o_totalprice"), gone)
+    made = migrate.put_back(c.schema, view.plan, asked.toDF("c0", "c1", "c2", z.W), c.read, {"o_custkey": 0})
+    after = c.with_rows({k: z.expand(z.plus(z.weighted(c.read(k)), ch)) for k, ch in made.items()})
+    return Query(after, view.plan, view.names).frame().select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT event_type, n, w FROM (SELECT event_type, count(*) AS n, 1::BIGINT AS w FROM events GROUP BY 1 UNION ALL SELECT event_type, count(*) AS n, -1::BIGINT AS w FROM events WHERE event_id % 10 <= 6 GROUP BY 1)")
@@ -573,12 +673,6 @@ def delta_recompute(spark, d):
     return z.recomputed(count(_log(spark, d).where("rev <= 6")), count(_log(spark, d))).select("event_type", "n", F.col(z.W).alias("w"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_id % 10 <> 9")
-def undo_latest(spark, d):
-    log = _log(spark, d).select("event_id", "event_type", "rev", z.W)
-    return z.expand(z.plus(log.drop("rev"), z.negate(log.where("rev = 9").drop("rev"))))
-
-
 @query("SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events WHERE event_id % 10 <= 5 UNION ALL SELECT event_type FROM events WHERE event_id % 10 = 8) GROUP BY 1")
 def candidate_query(spark, d):
     base = _log(spark, d).where("rev <= 5").select("event_id", "event_type")
@@ -614,11 +708,11 @@ def _maintained(spark, d, make: Callable[[Query], Query]) -> DataFrame:
     c = Catalog(spark)
     c.declare("events", log.where("rev <= 6").select(*names))
     q = make(scan(c, "events"))
-    total, known = z.weighted(q.frame()), z.compact(log.where("rev <= 6").select(*names, z.W))
+    total, known = z.weighted(q.frame()), log.where("rev <= 6").select(*names, z.W)
     for r in (7, 8, 9):
         change = log.where(F.col("rev") == r).select(*names, z.W)
-        total = total.unionByName(delta(q, lambda name, k=known: z.expand(k) if name == "events" else q.catalog.read(name), {"events": change}))
-        known = z.plus(known, change)
+        total = total.unionByName(delta(q, None, {"events": change}, lambda name, k=known: k if name == "events" else z.weighted(q.catalog.read(name))))
+        known = known.unionByName(change)
     return z.expand(z.compact(total))
 
 
@@ -646,6 +740,23 @@ def inc_group(spark, d):
     return _maintained(spark, d, lambda q: q.group("user_id").count("n"))
 
 
+@query("SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1")
+def inc_exact_sum(spark, d):
+    return _maintained(spark, d, lambda q: q.group("user_id").exact_sum("value", "total"))
+
+
+@query("SELECT a.event_id, coalesce(b.k, -1) AS k FROM (SELECT event_id, nullif(user_id % 7, 0) AS k FROM events) a JOIN (SELECT DISTINCT nullif(c_custkey % 7, 0) AS k FROM customer) b ON a.k IS NOT DISTINCT FROM b.k")
+def inc_join_optional(spark, d):
+    """Null keys meet null keys in changes too."""
+    log = _log(spark, d).selectExpr("event_id", "nullif(user_id % 7, 0) as k", "rev", z.W)
+    c = Catalog(spark)
+    c.declare("events", log.where("rev <= 6").select("event_id", "k"), options=("k",))
+    c.declare("keys", spark.read.parquet(f"{d}/customer.parquet").selectExpr("nullif(c_custkey % 7, 0) as k2").distinct(), options=("k2",))
+    q = scan(c, "events").join(scan(c, "keys"), ("k", "k2")).select("event_id", "k2").rename(k2="k")
+    change = log.where("rev > 6").select("event_id", "k", z.W)
+    return z.expand(z.plus(z.weighted(q.frame()), delta(q, c.read, {"events": change}))).select("event_id", F.coalesce("k", F.lit(-1)).alias("k"))
+
+
 @query("SELECT event_id, value FROM events QUALIFY rank() OVER (ORDER BY value DESC) <= 20")
 def inc_topk(spark, d):
     return _maintained(spark, d, lambda q: q.select("event_id", "value").top(20, "value"))
@@ -677,6 +788,23 @@ def inc_join_group_topk(spark, d):
     return _maintained(spark, d, make)
 
 
+@query("SELECT 'counts' AS watch, event_type AS k, count(*)::DOUBLE AS v FROM events JOIN customer ON user_id = c_custkey GROUP BY 2 UNION ALL SELECT 'sums', event_type, sum(value::DECIMAL(18,2))::DOUBLE FROM events JOIN customer ON user_id = c_custkey GROUP BY 2 UNION ALL SELECT 'top', event_id::VARCHAR, value FROM events QUALIFY rank() OVER (ORDER BY value DESC) <= 20")
+def inc_shared_state(spark, d):
+    """Three queries, two of them over one join, advanced together through three changes; states are stored tables, the join's is kept once."""
+    log = _log(spark, d).select("event_id", "user_id", "event_type", "value", "rev", z.W)
+    c = star(spark, d, "customer")
+    c.declare("events", log.where("rev <= 6").select("event_id", "user_id", "event_type", "value"))
+    both = scan(c, "events").join(scan(c, "customer"), ("user_id", "c_custkey")).select("event_id", "event_type", "value")
+    queries_ = {"counts": both.group("event_type").count("v"), "sums": both.group("event_type").exact_sum("value", "v"), "top": scan(c, "events").select("event_id", "value").top(20, "value")}
+    kept = Maintained(queries_, lambda name: z.weighted(c.read(name)))
+    results = {k: z.weighted(q.frame()) for k, q in queries_.items()}
+    for r in (7, 8, 9):
+        for k, change in kept.advance({"events": log.where(F.col("rev") == r).drop("rev")}).items():
+            results[k] = results[k].unionByName(change)
+    parts = [z.expand(z.compact(df)).toDF("k", "v").select(F.lit(k).alias("watch"), F.col("k").cast("string").alias("k"), F.col("v").cast("double").alias("v")) for k, df in results.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # recursion
 
 
@@ -700,9 +828,15 @@ def lifecycle_live(spark, d):
     return fixpoint.live(entities, roots, keeps).select(F.substring("id", 2, 20).cast("long").alias("id"))
 
 
-@query("SELECT * FROM (VALUES ('a', 2::BIGINT), ('b', 6::BIGINT), ('c', 12::BIGINT)) t(atom, n)")
+@query("SELECT 'r' || r_regionkey::VARCHAR AS atom, 1::BIGINT AS n FROM region UNION ALL SELECT 'n' || n_nationkey::VARCHAR, count(s_suppkey) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey UNION ALL SELECT 'all', count(*) FROM supplier")
 def bag_fixpoint(spark, d):
-    found = fixpoint.bag_fixpoint("abc", {"a": 2}, [fixpoint.BagRule("b", ("a",), 3), fixpoint.BagRule("c", ("a", "b"))])
+    """Suppliers counted through nations and regions: each region's atom gives its nations' as often as they have suppliers, and those give one for all."""
+    regions, nations, suppliers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("region", "nation", "supplier"))
+    k = {r[0]: r[1] for r in suppliers.groupBy("s_nationkey").count().collect()}  # a row for each nation
+    of = {r.n_nationkey: r.n_regionkey for r in nations.collect()}
+    facts = {f"r{r.r_regionkey}": 1 for r in regions.collect()}
+    program = [fixpoint.BagRule(f"n{i}", (f"r{g}",), k.get(i, 0)) for i, g in of.items()] + [fixpoint.BagRule("all", (f"n{i}",)) for i in of]
+    found = fixpoint.bag_fixpoint([*facts, *(f"n{i}" for i in of), "all"], facts, program)
     return spark.createDataFrame(sorted(fixpoint.require_finite(found).items()), "atom string, n long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import types as ty
@@ -14,9 +14,10 @@ from tessera.functions.equality import literal
 from tessera.functions.scalar import Expr
 from tessera.plans import nodes as n
 from tessera.plans.lower import Lowering
-from tessera.schema import Relation, Schema
+from tessera.schema import SET, Relation, Schema
 from tessera.sources.catalog import Catalog
 from tessera.streaming import zset as z
+from tessera.streaming.watch import Delta
 
 
 @dataclass(frozen=True)
@@ -99,58 +100,69 @@ def bijective(ids: DataFrame) -> bool:
 
 
 def writable(p: n.Plan) -> bool:
-    return isinstance(p, n.Scan | n.Project | n.FilterEqConst | n.FilterEqColumns | n.JoinEq) and all(map(writable, p.inputs()))
+    return isinstance(p, n.Scan | n.Project | n.PromoteToBag | n.FilterEqConst | n.FilterEqColumns | n.JoinEq) and all(map(writable, p.inputs()))
 
 
 def put_back(schema: Schema, p: n.Plan, change: DataFrame, read: Callable[[str], DataFrame], fill: dict[str, object] | None = None) -> dict[str, DataFrame]:
-    """Changes of base relations that make the view ``p`` change by ``change`` (c0, c1, ..., _w).
+    """Changes of base relations after which the view ``p`` has changed by exactly ``change`` (c0, c1, ..., _w); refused where there is none to be told.
 
     Rows that would not be in the view are an error. A projection that drops columns finds removed rows in its input and fills inserted ones from
-    ``fill``, by base column name. A join passes each side its part; inserted parts that are there already are left alone, removed ones leave the left side.
+    ``fill``, by base column name; of several rows that it can't tell apart it removes all or, where they are equal, some. A join passes each side its part;
+    inserted parts that are there already are left alone, removed ones leave the left side, or else the right. The change that this makes of the view
+    is derived and held against the one asked for, so that no other row of the view comes or goes with it.
     """
     if not writable(p):
         raise ReadOnlyView(type(p).__name__)
+    asked = z.compact(change)
+    for side in ("left", "right") if any(isinstance(x, n.JoinEq) for x in p.walk()) else ("left",):
+        out = {name: z.compact(c) for name, c in _pushed(schema, p, asked, read, fill or {}, side).items()}
+        made = Delta(schema, read, out).of(p).toDF(*asked.columns)
+        if z.plus(made, z.negate(asked)).isEmpty():
+            return out
+    raise ReadOnlyView("no change of the base relations gives just this change of the view")
+
+
+def _pushed(schema: Schema, p: n.Plan, change: DataFrame, read: Callable[[str], DataFrame], fill: dict[str, object], side: str) -> dict[str, DataFrame]:
     low = Lowering(schema, read)
     match p:
         case n.Scan(name):
             names = [c for c, _ in schema.relation(name).columns]
             return {name: change.toDF(*names, z.W)}
-        case n.FilterEqConst() | n.FilterEqColumns():
-            probe = n.FilterEqConst(n.Fixpoint("v", p.type(schema)), p.column, p.value, p.eq) if isinstance(p, n.FilterEqConst) else n.FilterEqColumns(n.Fixpoint("v", p.type(schema)), p.left, p.right, p.eq)
-            rows = change.drop(z.W)
-            inside = Lowering(schema, read, {"v": rows}).run(probe)
-            if inside.count() != rows.count():
-                raise ReadOnlyView("a row that the view's filter would leave out")
-            return put_back(schema, p.input, change, read, fill)
+        case n.FilterEqConst() | n.FilterEqColumns() | n.PromoteToBag():
+            return _pushed(schema, p.input, change, read, fill, side)
         case n.Project(i, columns):
             t = i.type(schema)
             kept = {c: k for k, c in reversed(list(enumerate(columns)))}
             missing = [c for c in range(len(t.columns)) if c not in kept]
             come, gone = change.where(F.col(z.W) > 0), change.where(F.col(z.W) < 0)
             base = _base_names(schema, i)
-            lacking = [base[c] for c in missing if base[c] not in (fill or {})]
+            lacking = [base[c] for c in missing if base[c] not in fill]
             if lacking and not come.isEmpty():
                 raise ReadOnlyView(f"no value for {', '.join(lacking)}")
-            new = come.select(*[F.col(f"c{kept[c]}").alias(f"c{c}") if c in kept else (literal((fill or {}).get(base[c]), t.columns[c]) if base[c] in (fill or {}) else F.lit(None).cast(t.columns[c].spark())).alias(f"c{c}") for c in range(len(t.columns))], z.W)
-            held = low.run(i)
-            keys = gone.select(*[F.col(f"c{kept[c]}").alias(f"r{c}") for c in kept]).distinct()
+            new = come.select(*[F.col(f"c{kept[c]}").alias(f"c{c}") if c in kept else (literal(fill.get(base[c]), t.columns[c]) if base[c] in fill else F.lit(None).cast(t.columns[c].spark())).alias(f"c{c}") for c in range(len(t.columns))], z.W)
+            held = z.compact(z.weighted(low.run(i)))
+            asked = gone.select(*[F.col(f"c{kept[c]}").alias(f"r{c}") for c in kept], F.col(z.W).alias("asked"))
             on = F.lit(True)
             for c in kept:
                 on = on & F.col(f"c{c}").eqNullSafe(F.col(f"r{c}"))
-            old = z.weighted(held.join(keys, on, "left_semi"), -1)
-            return put_back(schema, i, z.compact(new.unionByName(old)), read, fill)
+            found = held.join(asked, on)
+            alike = Window.partitionBy(*asked.columns)
+            found = found.withColumns({"all": F.sum(z.W).over(alike), "kinds": F.count(F.lit(1)).over(alike)})
+            whole = (F.col("all") == -F.col("asked")) | F.lit(t.kind == SET)
+            take = F.when(whole, -F.col(z.W)).when(F.col("kinds") == 1, F.col("asked")).otherwise(F.lit(0))
+            old = found.select(*[f"c{c}" for c in range(len(t.columns))], take.cast("long").alias(z.W))
+            return _pushed(schema, i, z.compact(new.unionByName(old)), read, fill, side)
         case n.JoinEq(a, b):
-            k = len(a.type(schema).columns)
-            m = len(b.type(schema).columns)
+            k, m = len(a.type(schema).columns), len(b.type(schema).columns)
+            parts = {"left": [F.col(f"c{j}") for j in range(k)], "right": [F.col(f"c{k + j}").alias(f"c{j}") for j in range(m)]}
             come, gone = change.where(F.col(z.W) > 0), change.where(F.col(z.W) < 0)
-            left = come.select(*[f"c{j}" for j in range(k)]).distinct()
-            right = come.select(*[F.col(f"c{k + j}").alias(f"c{j}") for j in range(m)]).distinct()
             out: dict[str, DataFrame] = {}
-            gone_left = z.weighted(gone.select(*[f"c{j}" for j in range(k)]).distinct(), -1)
-            for side, rows, extra in ((a, left, gone_left), (b, right, None)):
-                new = z.weighted(rows.exceptAll(rows.intersect(low.run(side))))
-                d = new if extra is None else new.unionByName(extra)
-                for name, c in put_back(schema, side, d, read, fill).items():
+            for which, of in (("left", a), ("right", b)):
+                rows = come.select(*parts[which]).distinct()
+                d = z.weighted(rows.exceptAll(rows.intersect(low.run(of))))
+                if which == side:
+                    d = d.unionByName(z.weighted(gone.select(*parts[which]).distinct(), -1))
+                for name, c in _pushed(schema, of, d, read, fill, side).items():
                     out[name] = z.plus(out[name], c) if name in out else c
             return out
     raise ReadOnlyView(type(p).__name__)

@@ -7,17 +7,20 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and driver and executors are one process, as in tests."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="tessera-")
     return _own
@@ -46,11 +49,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored_with_count(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``stored``, and how many rows that were, counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def discard(df: DataFrame) -> None:
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)  # type: ignore[attr-defined]
+    delete(df.sparkSession, df.stored_at)  # type: ignore[attr-defined]
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

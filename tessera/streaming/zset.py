@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError
+from tessera.operators.exact import exact_sum
 
 W = "_w"
 
@@ -78,22 +79,24 @@ def unioned(da: DataFrame, db: DataFrame) -> DataFrame:
 # a bilinear one
 
 
-def joined(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, on: list[str]) -> DataFrame:
-    """Change of the natural join on ``on``: da x b, a x db and da x db, with a and b before the change."""
+def matched(x: DataFrame, y: DataFrame, on: list[str], optional: bool = False) -> DataFrame:
+    """The natural join on ``on`` of weighted rows; weights multiply. ``optional``: keys may be null, and null meets null."""
+    r = y.withColumnsRenamed({W: "_w2"} | {c: f"_r{i}" for i, c in enumerate(on)})
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & (x[c].eqNullSafe(r[f"_r{i}"]) if optional else x[c] == r[f"_r{i}"])
+    return x.join(r, same).withColumn(W, F.col(W) * F.col("_w2")).drop("_w2", *[f"_r{i}" for i in range(len(on))])
 
-    def times(x: DataFrame, y: DataFrame) -> DataFrame:
-        r = y.withColumnRenamed(W, "_w2")
-        return x.join(r, on).withColumn(W, F.col(W) * F.col("_w2")).drop("_w2")
 
-    touched_b = b.join(da.select(*on).distinct(), on, "left_semi")
-    touched_a = a.join(db.select(*on).distinct(), on, "left_semi")
-    return plus(times(da, touched_b), times(touched_a, db), times(da, db))
+def joined(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, on: list[str], optional: bool = False) -> DataFrame:
+    """Change of the natural join on ``on``: da x b, a x db and da x db, with a and b before the change."""
+    return plus(matched(da, touched(b, da, on), on, optional), matched(touched(a, db, on), db, on, optional), matched(da, db, on, optional))
 
 
 # operators that look at the state of touched keys
 
 
-def _touched(state: DataFrame, dz: DataFrame, by: list[str]) -> DataFrame:
+def touched(state: DataFrame, dz: DataFrame, by: list[str]) -> DataFrame:
     keys = dz.select(*by).distinct()
     if not by:
         return state
@@ -106,7 +109,7 @@ def _touched(state: DataFrame, dz: DataFrame, by: list[str]) -> DataFrame:
 
 def _by_state(z: DataFrame, dz: DataFrame, by: list[str], result: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """result(after) - result(before), over the keys that the change touches."""
-    before = _touched(z, dz, by)
+    before = touched(z, dz, by)
     return plus(result(plus(before, dz)), negate(result(compact(before))))
 
 
@@ -136,22 +139,36 @@ def summed(z: DataFrame, dz: DataFrame, by: list[str], value: str, scale_: int,
     return _by_state(z, dz, by, result)
 
 
-def topped(z: DataFrame, dz: DataFrame, key: str, descending: bool, k: int) -> DataFrame:
-    """Top-k with ties. Before and after are each the first k by weight: rows are counted by key, and the bounded sort picks the edge."""
+def exact_summed(z: DataFrame, dz: DataFrame, by: list[str], value: str, name: str = "s") -> DataFrame:
+    """Exact group sums of doubles, of the keys that the change touches; a key without rows has none."""
 
     def result(s: DataFrame) -> DataFrame:
-        if k == 0:
-            return s.limit(0)
-        order = F.col(key).desc() if descending else F.col(key).asc()
-        first = s.groupBy(key).agg(F.sum(W).alias("_n")).where("_n > 0").orderBy(order).limit(k)
-        # at most k rows: their running count finds the k-th
-        edge = first.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("v"), "_n")), asc=not descending).alias("a")).select(
-            F.aggregate("a", F.struct(F.lit(0).cast("long").alias("n"), F.get(F.col("a"), F.lit(0)).getField("v").alias("v")), lambda acc, x: F.when(acc.getField("n") >= k, acc).otherwise(F.struct((acc.getField("n") + x.getField("_n")).alias("n"), x.getField("v").alias("v")))).getField("v").alias("_edge")
-        )
-        inside = F.col(key) >= F.col("_edge") if descending else F.col(key) <= F.col("_edge")
-        return s.where(F.col(W) > 0).join(F.broadcast(edge), inside).drop("_edge")
+        return weighted(exact_sum(s, {f"_g{i}": F.col(c) for i, c in enumerate(by)}, F.col(value), {}, name, F.col(W)).withColumnsRenamed({f"_g{i}": c for i, c in enumerate(by)}))
+
+    return _by_state(z, dz, by, result)
+
 
-    return plus(result(plus(z, dz)), negate(result(compact(z))))
+def first_keys(s: DataFrame, key: str, descending: bool, k: int) -> DataFrame:
+    """(key, _n): the first ``k`` values of ``key`` that rows have, in order, with how many rows have each."""
+    order = F.col(key).desc() if descending else F.col(key).asc()
+    return s.groupBy(key).agg(F.sum(W).alias("_n")).where("_n > 0").orderBy(order).limit(k)
+
+
+def top_rows(s: DataFrame, key: str, descending: bool, k: int) -> DataFrame:
+    """The first ``k`` rows by weight, with all that tie with the last: rows are counted by key, and the bounded sort picks the edge."""
+    if k == 0:
+        return s.limit(0)
+    # at most k rows: their running count finds the k-th
+    edge = first_keys(s, key, descending, k).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("v"), "_n")), asc=not descending).alias("a")).select(
+        F.aggregate("a", F.struct(F.lit(0).cast("long").alias("n"), F.get(F.col("a"), F.lit(0)).getField("v").alias("v")), lambda acc, x: F.when(acc.getField("n") >= k, acc).otherwise(F.struct((acc.getField("n") + x.getField("_n")).alias("n"), x.getField("v").alias("v")))).getField("v").alias("_edge")
+    )
+    inside = F.col(key) >= F.col("_edge") if descending else F.col(key) <= F.col("_edge")
+    return compact(s).where(F.col(W) > 0).join(F.broadcast(edge), inside).drop("_edge")  # one row is broadcast
+
+
+def topped(z: DataFrame, dz: DataFrame, key: str, descending: bool, k: int) -> DataFrame:
+    """Top-k with ties, before and after."""
+    return plus(top_rows(z.unionByName(dz), key, descending, k), negate(top_rows(z, key, descending, k)))
 
 
 def differenced(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, as_set: bool = False) -> DataFrame:
@@ -164,7 +181,7 @@ def differenced(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, as_set
         return both.select(*by, w.cast("long").alias(W)).where(F.col(W) > 0)
 
     keys = da.select(*by).unionByName(db.select(*by)).distinct()
-    ta, tb = _touched(a, keys, by), _touched(b, keys, by)
+    ta, tb = touched(a, keys, by), touched(b, keys, by)
     return plus(result(plus(ta, da), plus(tb, db)), negate(result(compact(ta), compact(tb))))
 
 
@@ -176,7 +193,7 @@ def anti_joined(a: DataFrame, b: DataFrame, da: DataFrame, db: DataFrame, on: st
         return x.join(blocked, F.col(on).eqNullSafe(F.col("_k")), "left_anti")
 
     keys = da.select(on).unionByName(db.select(on)).distinct()
-    ta, tb = _touched(a, keys, [on]), _touched(b, keys, [on])
+    ta, tb = touched(a, keys, [on]), touched(b, keys, [on])
     return plus(result(plus(ta, da), plus(tb, db)), negate(result(compact(ta), compact(tb))))
 
 

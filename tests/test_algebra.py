@@ -190,6 +190,30 @@ def test_pages_cover_the_view_once(spark):
         v.page(3, type(at)('{"o":99}', at.row, 0))
 
 
+def test_order_statistics_by_ranges(spark):
+    df = spark.createDataFrame([(g, x % 37) for g in (1, 2, None) for x in range(200 if g else 50)], "g long, x long").repartition(6)
+    for statistic, at in (("kth_start", 0), ("kth_start", 60), ("kth_end", 3), ("kth_end", 199), ("lower_quantile", 0.0), ("lower_quantile", 0.37), ("lower_quantile", 1.0), ("kth_start", 10_000)):
+        for by in ([], ["g"]):
+            one, many = (exact.order_statistic(df, by, "x", F.col("x"), statistic, at, spread=s).collect() for s in (False, True))
+            key = lambda r: tuple((v is not None, v) for v in r)
+            assert sorted(map(tuple, one), key=key) == sorted(map(tuple, many), key=key), (statistic, at, by)
+
+
+def test_pages_move_with_the_view(spark):
+    c = Catalog(spark)
+    c.declare("p", spark.createDataFrame([(x, f"s{x}") for x in (1, 2, 2, 3, 5)], "a long, b string"))
+    q = scan(c, "p")
+    v = OrderedView(q.frame(), q.type, 0, Order("i64"))
+    at = v.page(2).next
+    change = spark.createDataFrame([(2, "s2", -1), (3, "s3", -1), (4, "s4", 2)], "a long, b string, _w long")
+    assert sorted(map(tuple, v.page_change(change, 2, v.page(1).next).collect())) == [(2, "s2", -1), (4, "s4", 1)]
+    moved = v.advanced(change).advanced(spark.createDataFrame([(9, "s9", 1)], "a long, b string, _w long"))
+    assert [tuple(r) for r in moved.page(9).rows] == [(1, "s1"), (2, "s2"), (4, "s4"), (4, "s4"), (5, "s5"), (9, "s9")]
+    assert [tuple(r) for r in moved.page(2, at).rows] == [(4, "s4"), (4, "s4")]
+    with pytest.raises(er.InvalidCursor):
+        moved.advanced(spark.createDataFrame([(2, "s2", -1)], "a long, b string, _w long")).page(2, at)
+
+
 def test_nested_equalities(spark):
     t = ty.SetOf(ty.TEXT)
     df = spark.createDataFrame([(["a", "B"],), (["b", "A", "a"],), (["c"],)], "s array<string>")
