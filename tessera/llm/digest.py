@@ -54,9 +54,10 @@ def with_next(docs: DataFrame, per_bucket: int = 4096) -> DataFrame:
         is_bound = is_bound & (F.col("bucket") > 0)
     spot = lambda b, extra: F.struct(b.cast("int").alias("b"), F.lit(extra).alias("extra"))
     spots = F.array_compact(F.array(spot(F.col("bucket"), 0), F.when(is_bound, spot(F.col("bucket") - 1, 1)), F.when(is_first, spot(F.lit(last), 2))))
-    dealt = marked.select("doc_id", "row", F.explode(spots).alias("spot"))
-    order = Window.partitionBy("spot.b").orderBy("spot.extra", F.col("doc_id").asc_nulls_first(), *[F.col(f"row.`{c}`") for c in names if c != "doc_id"])
-    return dealt.withColumn("following", F.lead("row").over(order)).where("spot.extra = 0").select("row.*", "following")
+    dealt = marked.select("doc_id", "row", F.explode(spots).alias("spot")).select("doc_id", "row", "spot.b", "spot.extra")
+    dealt = dealt.repartitionById(max(1, len(cuts)), "b")  # a task for each bucket
+    order = Window.partitionBy("b").orderBy("extra", F.col("doc_id").asc_nulls_first(), *[F.col(f"row.`{c}`") for c in names if c != "doc_id"])
+    return dealt.withColumn("following", F.lead("row").over(order)).where("extra = 0").select("row.*", "following")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
