@@ -29,7 +29,9 @@ from tessera.llm.components import connected_components
 
 LEAST = 0.93
 WIDTH = 8
-CHUNK = 2_048
+CHUNK = 8_192
+#: Rows of a task that meet the others at once.
+STRIP = 512
 SAMPLE = 4_096
 LENGTHS = 16
 SLACK = 1e-9
@@ -82,17 +84,22 @@ def pairs(x: np.ndarray, y: np.ndarray | None, axes: np.ndarray, block: int) ->
     rx = turned(ux, axes)
     ry = rx if y is None else turned(uy, axes)
     bx, by = rx[:, a:e], ry[:, a:e]
-    far = (bx * bx).sum(1)[:, None] + (by * by).sum(1) - 2 * bx @ by.T
-    i, j = np.nonzero(far <= most + 1e-7)
-    if y is None:
-        i, j = i[i < j], j[i < j]
-    ok = np.zeros(len(i), dtype=bool)
-    budget = np.array([b for _, _, b in shape])
-    for lo in range(0, len(i), 1 << 15):
-        s, t = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
-        within = _block_distances(rx[s] - ry[t], shape) <= budget
-        ok[lo : lo + (1 << 15)] = within.any(1) & (within.argmax(1) == block) & ((ux[s] * uy[t]).sum(1) >= LEAST)
-    return i[ok], j[ok]
+    length, budget, found = (by * by).sum(1), np.array([b for _, _, b in shape]), []
+    for at in range(0, len(bx), STRIP):
+        part, later = bx[at : at + STRIP], at if y is None else 0
+        far = (part * part).sum(1)[:, None] + length[later:] - 2 * part @ by[later:].T
+        i, j = np.nonzero(far <= most + 1e-7)
+        i, j = i + at, j + later
+        if y is None:
+            i, j = i[i < j], j[i < j]
+        for lo in range(0, len(i), 1 << 15):
+            s, t = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+            within = _block_distances(rx[s] - ry[t], shape) <= budget
+            ok = within.any(1) & (within.argmax(1) == block) & ((ux[s] * uy[t]).sum(1) >= LEAST)
+            found.append((s[ok], t[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([s for s, _ in found]), np.concatenate([t for _, t in found])
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -346,6 +346,7 @@ def test_vector_links(spark):
 
 def test_vector_chunks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CHUNK", 16)
+    monkeypatch.setattr(vectors, "STRIP", 5)
     test_vector_links(spark)
 
 
