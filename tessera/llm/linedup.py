@@ -10,7 +10,9 @@ if an earlier line, by doc_id and then place, has Jaccard similarity of 0.8 or m
    a token pass the length filter and the positional filter, which counts what can still be shared behind the meeting place.
 4. Under each token all lines are first held against the earliest; those it proves repeated are done, so a family of variants
    costs one pair each. The others are held against every earlier line of about their size under the token.
-5. Pairs are verified on whole token sets.
+5. Where two lines meet, the bits in which the parities of their tokens differ bound the tokens that only one of them has; a pair beyond what
+   similar lines may have is none. Pairs are verified on whole token sets, in rounds of at most ``ROUND`` tokens or as many as all the sets have,
+   so what is on disk at once doesn't grow with the pairs.
 
 A token stands for its words by a 64-bit hash that mixes every eight bytes of a word and every word, without the structure of a polynomial.
 
@@ -35,6 +37,11 @@ BUCKETS = 1 << BITS
 _REST = np.uint64((1 << (64 - BITS)) - 1)
 #: Postings that a task holds back at once before it sends or sorts them in.
 AT_ONCE = 1 << 18
+#: Tokens of the pairs that are verified at once, if the sets have no more.
+ROUND = 1 << 24
+#: 64-bit words of a line's parities.
+WORDS = 4
+_PARITY = [f"s{k}" for k in range(WORDS)]
 _LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 #: The odd factors of the splitmix64 generator.
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -129,6 +136,20 @@ class Lines:
         return of[new], token[new]
 
 
+def parities(of: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
+    """``WORDS`` words of bits for each line: a bit is 1 if an odd number of the line's tokens falls on it, so a token changes one bit."""
+    bits = 64 * WORDS
+    out = np.zeros((lines, WORDS), dtype="<i8")
+    at_once = max(1, AT_ONCE // bits)
+    cuts = np.searchsorted(of, np.arange(0, lines + at_once, at_once))
+    for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        first = k * at_once
+        some = min(at_once, lines - first)
+        odd = np.bincount((of[i:j] - first) * bits + (token[i:j] % np.uint64(bits)).astype(np.int64), minlength=some * bits) & 1
+        out[first : first + some] = np.packbits(odd.astype(np.uint8).reshape(some, bits), axis=1).view("<i8")
+    return out
+
+
 def bucket(token: np.ndarray) -> np.ndarray:
     return (token >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -300,6 +321,14 @@ def _may_match(a: str, b: str) -> Column:
     return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (9 * (1 + F.least(n1 - p1 - 1, n2 - p2 - 1)) >= 4 * (n1 + n2))
 
 
+def _near(a: str, b: str) -> Column:
+    """What Jaccard 0.8 asks of the parities: 9 * bits that differ <= 9 * tokens that one line has alone <= sizes together."""
+    apart = F.lit(0)
+    for c in _PARITY:
+        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
 def _size_class() -> Column:
     """Sizes within a quarter of each other are in the same or neighbouring classes."""
     return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))).cast("int")
@@ -321,20 +350,24 @@ def repeated(docs: DataFrame) -> DataFrame:
     discard(known)
     needed = postings.select("h1", "h2").distinct().join(first, ["h1", "h2"]).select("h1", "h2", "first")
     sets = stored(_token_sets(docs, needed), "sets")
-    index = stored(postings.join(needed, ["h1", "h2"]).select("token", "h1", "h2", "first", "n", "pos"), "index")
-    lead = index.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n", "pos")).alias("l")).select("token", "l.*")
-    one = index.alias("a").join(lead.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("b.first") < F.col("a.first")) & _may_match("a", "b"))
-    gone = stored(_verified(one, sets), "gone")
+    index = stored(postings.join(sets.select("h1", "h2", "first", *_PARITY), ["h1", "h2"]).select("token", "h1", "h2", "first", "n", "pos", *_PARITY), "index")
+    discard(postings)
+    lead = index.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n", "pos", *_PARITY)).alias("l")).select("token", "l.*")
+    one = index.alias("a").join(lead.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("b.first") < F.col("a.first")) & _may_match("a", "b") & _near("a", "b"))
+    gone = _verified(one, sets)
     rest = index.join(gone, ["h1", "h2"], "left_anti").withColumn("k", F.explode(F.sequence(_size_class() - 1, _size_class() + 1)))
     sized = index.withColumn("k", _size_class())
-    two = rest.alias("a").join(sized.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.k") == F.col("b.k")) & (F.col("b.first") < F.col("a.first")) & _may_match("a", "b"))
-    late = stored(_verified(two, sets), "gone")
-    for done in (sets, index, postings):
+    two = rest.alias("a").join(sized.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.k") == F.col("b.k")) & (F.col("b.first") < F.col("a.first")) & _may_match("a", "b") & _near("a", "b"))
+    late = _verified(two, sets)
+    for done in (sets, index):
         discard(done)
-    gone = gone.unionByName(late).withColumn("gone", F.lit(True))
-    fate = first.where("copies > 1").join(gone, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
+    every_gone = gone.unionByName(late).withColumn("gone", F.lit(True))
+    fate = first.where("copies > 1").join(every_gone, ["h1", "h2"], "full_outer").select("h1", "h2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
     out = lines.join(fate, ["h1", "h2"]).where(F.col("gone") | ~place.eqNullSafe(F.col("first")))
-    return out.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("lines"))
+    by_row = stored(out.groupBy("doc_id", "t1", "t2").agg(F.collect_set("line").alias("lines")), "repeated")
+    for done in (every, first, gone, late):
+        discard(done)
+    return by_row
 
 
 def _promising(postings: DataFrame) -> DataFrame:
@@ -348,31 +381,56 @@ def _promising(postings: DataFrame) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """(h1, h2, tokens) of the lines in ``needed``, from the row that has each first."""
-    by_row = needed.select("first.*", "h1", "h2").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want")).alias("w")
-    found = _keyed(docs).alias("d").join(by_row, _same_row("d", "w")).select("d.text", "w.want")
+    """(h1, h2, first, n, tokens, parities) of the lines in ``needed``, from one of the rows that has each first."""
+    keys = ["id", "no_id", "t1", "t2"]  # without nulls, so that the rows of the join are in place to keep one of those that are equal
+    named = lambda rows: rows.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull()})
+    by_row = named(needed.select("first.*", "h1", "h2")).groupBy(*keys).agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want"))
+    found = named(_keyed(docs)).join(by_row, keys).groupBy(*keys).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("want").alias("want")).select("doc_id", "t1", "t2", "text", "want")
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         wanted: list[str] = []
-        for text, lines in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
+        row: list[int] = []
+        for i, (text, lines) in enumerate(zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True)):
             every = text.split("\n")
             wanted += [every[w["line"]] for w in lines]
+            row += [i] * len(lines)
         x = Lines(wanted)  # each is a text of one line
         of, token = x.sets()
         cuts = np.searchsorted(of, np.arange(len(x.line) + 1)).astype(np.int32)
         who = b.column("want").flatten()
-        yield pa.RecordBatch.from_arrays([who.field("h1"), who.field("h2"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.view(np.int64)))], names=["h1", "h2", "tokens"])
+        place = [b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "t1", "t2")]
+        odd = parities(of, token, len(x.line))
+        columns = [who.field("h1"), who.field("h2"), *place, who.field("line"), pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.view(np.int64))), *(pa.array(odd[:, k].copy()) for k in range(WORDS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "t1", "t2", "line", "n", "tokens", *_PARITY])
 
-    return arrow_map(found, run, "h1 long, h2 long, tokens array<long>").dropDuplicates(["h1", "h2"])
+    made = arrow_map(found, run, "h1 long, h2 long, doc_id long, t1 long, t2 long, line int, n int, tokens array<long>, " + ", ".join(f"{c} long" for c in _PARITY))
+    return made.select("h1", "h2", F.struct("doc_id", "t1", "t2", "line").alias("first"), "n", "tokens", *_PARITY)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(h1, h2) of the later lines of the pairs that are similar."""
-    each = pairs.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("h1", "h2")]).distinct()
+    """(h1, h2) of the later lines of the pairs that are similar, as a stored table.
+
+    A pair takes its lines' tokens along, so pairs of more tokens than a round has are dealt over several; each is done, and its files deleted, before the next.
+    """
+    names = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("h1", "h2")]
+    each = stored(pairs.select(*names, (F.col("a.n") + F.col("b.n")).cast("long").alias("n")).distinct(), "pairs")
+    tokens, room = each.agg(F.sum("n")).first()[0] or 0, sets.agg(F.sum("n")).first()[0] or 0
+    rounds = -(-tokens // max(ROUND, room)) or 1
     side = lambda s: sets.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("tokens").alias(f"{s}_t"))
-    both = each.join(side("a"), ["a_h1", "a_h2"]).join(side("b"), ["b_h1", "b_h2"])
     shared = F.size(F.array_intersect("a_t", "b_t"))
-    return both.where(9 * shared >= 4 * (F.size("a_t") + F.size("b_t"))).select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2")).distinct()
+    found = []
+    for k in range(rounds):
+        some = each if rounds == 1 else each.where(F.pmod(F.xxhash64("a_h1", "a_h2", "b_h1", "b_h2"), F.lit(rounds)) == k)
+        both = some.drop("n").join(side("a"), ["a_h1", "a_h2"]).join(side("b"), ["b_h1", "b_h2"])
+        alike = both.where(9 * shared >= 4 * (F.size("a_t") + F.size("b_t"))).select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2")).distinct()
+        if found:
+            alike = alike.unionByName(found[0]).distinct()
+        found.insert(0, stored(alike, "gone"))
+        for old in found[1:]:
+            discard(old)
+        found = found[:1]
+    discard(each)
+    return found[0]
 
 
 def dedup(docs: DataFrame, counts: bool = False) -> DataFrame:

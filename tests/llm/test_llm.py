@@ -301,6 +301,48 @@ def test_line_dedup_of_structured_words(spark):
     assert {tuple(r)[2:] for r in kept.values()} == {(7, 8, "x", 9, 10, "y")}
 
 
+def test_line_dedup_verifies_few_unlike_pairs(spark, monkeypatch):
+    """Lines that share most of their tokens' kinds without being alike: pairs that are verified follow the similar ones, not the square of the lines."""
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice("abc") for _ in range(34)) for _ in range(240)]
+    lines += [" ".join([*x.split()[:-1], "new"]) for x in lines[:20]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    verify, pairs = linedup._verified, []
+
+    def counted(found, sets):
+        pairs.append(found.select("a.h1", "a.h2", "b.h1", "b.h2").distinct().count())
+        return verify(found, sets)
+
+    monkeypatch.setattr(linedup, "_verified", counted)
+    seen, want = [], set()
+    for i, x in enumerate(lines):
+        s = line_set(x)
+        if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+            want.add(i)
+        seen.append(s)
+    assert {r.doc_id for r in linedup.dedup(docs).where("text = ''").collect()} == want and len(want) >= 20
+    assert sum(pairs) < 4 * len(want)
+
+
+def test_line_dedup_in_rounds(spark, monkeypatch):
+    """Pairs of more tokens than a round has are verified in several, with one result; parities differ in no more bits than sets in tokens."""
+    rng = random.Random(12)
+    sets = [frozenset(rng.sample(range(40), rng.randint(24, 38))) for _ in range(12)]
+    of, token = (np.array(x) for x in zip(*((i, t) for i, s in enumerate(sets) for t in sorted(s)), strict=True))
+    odd = linedup.parities(of, linedup.mixed(token.astype(np.uint64)), len(sets)).view(np.uint64)
+    alike = lambda a, b: 9 * len(a & b) >= 4 * (len(a) + len(b))
+    for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2):
+        assert sum(int(x).bit_count() for x in odd[i] ^ odd[j]) <= len(a ^ b)
+    rows = spark.createDataFrame([(i, -i, len(s), sorted(s)) for i, s in enumerate(sets)], "h1 long, h2 long, n int, tokens array<long>")
+    every = rows.alias("a").join(rows.alias("b"), F.col("b.h1") < F.col("a.h1"))
+    want = {i for i, a in enumerate(sets) if any(alike(a, b) for b in sets[:i])}
+    made = []
+    monkeypatch.setattr(linedup, "ROUND", 1)
+    monkeypatch.setattr(linedup, "stored", lambda df, name, f=linedup.stored: made.append(name) or f(df, name))
+    assert sorted((r.h1, r.h2) for r in linedup._verified(every, rows).collect()) == [(i, -i) for i in sorted(want)]
+    assert want and made.count("gone") == -(-sum(len(a) + len(b) for a, b in itertools.combinations(sets, 2)) // sum(map(len, sets)))
+
+
 @pytest.mark.parametrize("most", [0, 900, 2 << 20])
 def test_repeated_strings(docs, monkeypatch, most):
     """However small a key's limit is, its windows go through strings of up to the whole window."""
